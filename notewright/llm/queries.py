@@ -6,23 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing
+from . import chat, mixing, quality, secrets, sentspans, toxicity
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op2_divergence_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(_read(spark, d, "documents").select("doc_id", "text", "lang"))
+
+
 def op6_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_read(spark, d, "documents").select("doc_id", "text", "source"))
 
 
+def op7_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.scan(_read(spark, d, "documents").select("doc_id", "text"))
+
+
+def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score(_read(spark, d, "documents").select("doc_id", "text"), _read(spark, d, "labels").select("doc_id", "toxic"))
+
+
+def op9_sentence_spans(spark: SparkSession, d: str) -> DataFrame:
+    return sentspans.dedup_spans(_read(spark, d, "documents").select("doc_id", "text"))
+
+
 def op10_quotation_linking(spark: SparkSession, d: str) -> DataFrame:
     return chat.link_quotations(_read(spark, d, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_divergence_quality": op2_divergence_quality,
     "op6_mix_sources": op6_mix_sources,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
+    "op9_sentence_spans": op9_sentence_spans,
     "op10_quotation_linking": op10_quotation_linking,
 }
 
