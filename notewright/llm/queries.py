@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, mixing, quality, secrets, sentspans, toxicity
+from . import chat, jaccard, mixing, quality, secrets, sentspans, spiece, toxicity
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.components(_read(spark, d, "documents"), k=3, percent=90).drop("key")
 
 
+def op4_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    return spiece.encode(_read(spark, d, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_read(spark, d, "documents").select("doc_id", "text", "source"))
 
@@ -44,6 +48,7 @@ def op10_quotation_linking(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_divergence_quality": op2_divergence_quality,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_mix_sources": op6_mix_sources,
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
