@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, mixing, quality, secrets, sentspans, spiece, toxicity
+from . import ann, chat, jaccard, langid, mixing, quality, secrets, sentspans, spiece, toxicity
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_learned_partitions(spark: SparkSession, d: str) -> DataFrame:
+    return ann.nearest(_read(spark, d, "embeddings").select("vec_id", "embedding"))
+
+
 def op2_divergence_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality(_read(spark, d, "documents").select("doc_id", "text", "lang"))
 
@@ -25,6 +29,10 @@ def op4_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return spiece.encode(_read(spark, d, "documents"))
 
 
+def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return langid.identify_pages(_read(spark, d, "pages")).select("page_id", "declared", "host", "n_grams", "text_lang", "lang", "confidence", "rejected")
+
+
 def op6_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_read(spark, d, "documents").select("doc_id", "text", "source"))
 
@@ -46,9 +54,11 @@ def op10_quotation_linking(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_learned_partitions": op1_learned_partitions,
     "op2_divergence_quality": op2_divergence_quality,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,

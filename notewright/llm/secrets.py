@@ -55,7 +55,7 @@ def _find(d: DataFrame, name: str, pattern: str, kind: int, keep) -> DataFrame:
 
 
 def labelled_samples(docs: DataFrame, sample_docs: int = 400, n_random: int = 4000) -> DataFrame:
-    """(value, random): seeded random strings and identifiers of at most ``sample_docs`` documents, by hash order of the text."""
+    """(value, random): seeded random strings and identifiers of the ``sample_docs`` documents first by hash of the doc_id."""
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("markov-"), F.col("id").cast("string")), 256)
     b64 = F.base64(F.unhex(digest))
@@ -63,7 +63,9 @@ def labelled_samples(docs: DataFrame, sample_docs: int = 400, n_random: int = 40
     rnd = spark.range(n_random).select(
         F.when(F.col("id") % 3 == 0, F.substring(digest, F.lit(1), size)).when(F.col("id") % 3 == 1, F.substring(b64, F.lit(1), size))
         .otherwise(F.substring(F.translate(b64, "+/=", "xQ7"), F.lit(1), size)).alias("value"), F.lit(True).alias("random"))
-    text = docs.select("text").orderBy(F.xxhash64("text"), "text").limit(sample_docs)
+    h = F.xxhash64("doc_id", F.lit("markov"))
+    last = docs.select(h.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).collect()[0][0]
+    text = docs.filter(h <= last) if last is not None else docs
     w = text.select(F.filter(words(F.col("text")), lambda x: x.rlike("^[A-Za-z][A-Za-z_-]{2,}$")).alias("w"))
     pair = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))
     p = w.filter(F.size("w") > 1).select(F.explode(pair).alias("p")).select("p.a", "p.b")
