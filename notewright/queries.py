@@ -20,3 +20,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Imports every module that registers queries."""
+    from .plans import note_queries  # noqa: F401
+
+
+load()
