@@ -74,7 +74,11 @@ def learn_lexicon(train: DataFrame, size: int = 150, stem_lengths: tuple[int, ..
     d = train.select("toxic", F.array_distinct(F.transform(words(F.col("text")), strip)).alias("w"))
     totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
-    stemmed = [F.transform(F.filter("w", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.lit(f"{k}:"), F.substring(w, F.lit(1), F.lit(k)))) for k in stem_lengths]
+
+    def beginnings(k: int):
+        return F.transform(F.filter("w", lambda w: F.length(w) > k), lambda w: F.concat(F.lit(f"{k}:"), F.substring(w, 1, k)))
+
+    stemmed = [beginnings(k) for k in stem_lengths]
     terms = F.array_distinct(F.concat(F.transform("w", lambda w: F.concat(F.lit("0:"), w)), *stemmed))
     c = d.select("toxic", F.explode(terms).alias("t")).groupBy("t").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).filter(F.col("p") >= min_docs)
     odds = F.log((F.col("p") + 0.5) / (pos - F.col("p") + 0.5)) - F.log((F.col("n") - F.col("p") + 0.5) / (neg - F.col("n") + F.col("p") + 0.5))
