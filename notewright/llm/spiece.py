@@ -16,19 +16,19 @@ space), as with the library. Normalisers other than identity aren't supported an
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-MARKED = regex.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+MARKED = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_WORDS, MOST_PAIRS = 300_000, 500_000
+MOST_WORDS, MOST_PAIRS = 250_000, 250_000
 
 
 @dataclass
@@ -45,8 +45,10 @@ class Pieces:
     special: frozenset[int] = field(default_factory=frozenset)
 
     @cached_property
-    def longest(self) -> int:
-        return max(map(len, self.plain), default=1)
+    def ends(self) -> dict[str, int]:
+        """Every ending of a piece, with the piece's id if it is a whole one, else -1."""
+        out = {p[i:]: -1 for p in self.plain for i in range(1, len(p))}
+        return out | self.plain
 
     @cached_property
     def texts(self) -> list[bytes]:
@@ -79,7 +81,9 @@ class Encoder:
     """Encodes marked words; keeps bounded caches of words and of pairs of pieces between batches."""
 
     def __init__(self, p: Pieces):
-        self.p, self.ids, self.pairs = p, {}, {}
+        self.p, self.ids, self.pairs, self.odd = p, {}, {}, {}
+        self.names = list(p.pieces)
+        self.spelled = [np.int32(i).tobytes() for i in range(len(p.pieces))]
         self.low = min((s for s in p.scores if s > -1e8), default=0.0) - 10
 
     def merged(self, word: str) -> list[str]:
@@ -96,24 +100,32 @@ class Encoder:
             s[at : at + 2] = [s[at] + s[at + 1]]
         return s
 
-    def follows(self, a: str, b: str) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) >= MOST_PAIRS:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(a + b) == [a, b]
+    def follows(self, a: int, b: int) -> bool:
+        """Whether merging the characters of both pieces gives back the two."""
+        if len(self.pairs) >= MOST_PAIRS:
+            self.pairs.clear()
+        x, y = self.names[a], self.names[b]
+        got = self.pairs[a << 24 | b] = self.merged(x + y) == [x, y]
         return got
 
-    def _unit(self, piece: str) -> list[int]:
-        k = self.p.plain.get(piece)
-        if k is not None:
-            return [k]
-        return [self.p.bytes_at + b for b in piece.encode("utf-8", "replace")] if self.p.bytes_at is not None else [self.p.unknown]
+    def _odd(self, char: str) -> int:
+        """The number of a character without a piece: it is spelled in byte pieces, or is the unknown piece."""
+        k = self.odd.get(char)
+        if k is None:
+            k = self.odd[char] = len(self.names)
+            self.names.append(char)
+            ids = [self.p.bytes_at + b for b in char.encode("utf-8", "replace")] if self.p.bytes_at is not None else [self.p.unknown]
+            self.spelled.append(np.array(ids, dtype=np.int32).tobytes())
+        return k
 
     def learn(self, words: set[str]) -> None:
-        """Adds the ids of ``words`` to the cache: one walk of their trie in sorted order."""
-        plain, scores, longest, bpe = self.p.plain, self.p.scores, self.p.longest, self.p.bpe
-        back, last, best = [0], [""], [0.0]  # per character: where its piece starts, the piece, the path's score
+        """Adds the ids of ``words`` to the cache: one walk of their trie in sorted order.
+
+        ``back`` and ``last`` hold, per character, where the best piece that ends there starts, and its number;
+        ``best`` the path's score. A character that no piece ends with is a unit of its own, numbered from the size of the vocabulary.
+        """
+        ends, spelled, scores, bpe, pairs = self.p.ends, self.spelled, self.p.scores, self.p.bpe, self.pairs
+        back, last, best = [0], [0], [0.0]
         before = ""
         for w in sorted(words):
             same = 0
@@ -123,30 +135,36 @@ class Encoder:
                 same += 1
             del back[same + 1 :], last[same + 1 :], best[same + 1 :]
             for i in range(same + 1, len(w) + 1):
-                top, at, piece = -math.inf, i - 1, w[i - 1]
-                for s in range(max(0, i - longest), i):
-                    t = w[s:i]
-                    k = plain.get(t)
+                found, s = [], i - 1
+                while s >= 0:
+                    k = ends.get(w[s:i])
                     if k is None:
-                        if s < i - 1:
-                            continue
-                        score = self.low
-                    else:
-                        score = scores[k]
-                    if bpe:
-                        if s == 0 or self.follows(last[s], t):
-                            top, at, piece = 0.0, s, t
+                        break
+                    if k >= 0:
+                        found.append((s, k))
+                    s -= 1
+                if not found or found[0][0] != i - 1:
+                    found.insert(0, (i - 1, self._odd(w[i - 1])))
+                if bpe:
+                    for at, k in reversed(found):
+                        if at == 0:
+                            break
+                        ok = pairs.get(last[at] << 24 | k)
+                        if ok or (ok is None and self.follows(last[at], k)):
                             break
-                    elif best[s] + score > top:
-                        top, at, piece = best[s] + score, s, t
-                back.append(at)
-                last.append(piece)
-                best.append(top)
+                    back.append(at)
+                    last.append(k)
+                else:
+                    top, at, k = max((best[at] + (scores[k] if k < len(scores) else self.low), -at, k) for at, k in found)
+                    back.append(-at)
+                    last.append(k)
+                    best.append(top)
             before, i, out = w, len(w), []
             while i > 0:
-                out.append(last[i])
+                out.append(spelled[last[i]])
                 i = back[i]
-            self.ids[w] = np.array([k for t in reversed(out) for k in self._unit(t)], dtype=np.int32).tobytes()
+            out.reverse()
+            self.ids[w] = b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = []
