@@ -26,14 +26,21 @@ from .common import store
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """The k rows with the largest inner product for each row, itself left out."""
-    out = []
-    for lo in range(0, len(x), 1024):
-        s = x[lo : lo + 1024] @ x.T
+    out, x = [], x.astype(np.float32)
+    for lo in range(0, len(x), 256):
+        s = x[lo : lo + 256] @ x.T
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
-        out.append(np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, :k])
+        out.append(np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, :k].copy())
     return np.concatenate(out)
 
 
+def neighbours_of(x: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """As neighbours, for some rows alone."""
+    s = x[rows] @ x.T
+    s[np.arange(len(rows)), rows] = -np.inf
+    return np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, :k]
+
+
 def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, passes: int = 6, slack: float = 1.05) -> np.ndarray:
     """Part of each node: recursive halving, then moves along the graph within the parts' capacity."""
     of = np.zeros(len(x), dtype=np.int64)
@@ -116,9 +123,7 @@ def learn(x: np.ndarray, parts: int, k: int, target: float, graph_k: int = 10) -
     router = Router(x.shape[1], parts).fit(x, soft)
     home = router.best(x, 1)[:, 0]
     q = np.unique(np.linspace(0, len(x) - 1, 400).astype(int))
-    s = x[q] @ x.T
-    s[np.arange(len(q)), q] = -np.inf
-    near = np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, :k]
+    near = np.concatenate([neighbours_of(x, q[lo : lo + 100], k) for lo in range(0, len(q), 100)])
     rank = np.argsort(np.argsort(-router.logits(x[q]), axis=1, kind="stable"), axis=1)
     needed = rank[np.arange(len(q))[:, None], home[near]]
     recall = np.array([(needed < m).mean() for m in range(1, parts + 1)])
@@ -173,6 +178,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 8_00
     ids = F.broadcast(d.select("vec_id", h.alias("h")).orderBy("h", "vec_id").limit(sample).select("vec_id"))
     got = d.join(ids, "vec_id", "left_semi").toPandas().sort_values("vec_id")
     x = _stack(got["v"])
+    del got
     parts = 1 << max(0, min(most_parts, n // rows_per_part).bit_length() - 1) if n else 1
     router, probes = learn(x, parts, k, target) if len(x) else (Router(1, 1), 1)
 
