@@ -112,7 +112,7 @@ def blocks(notes: DataFrame, spec: ExcerptSpec) -> DataFrame:
     d = note_counts(notes.withColumn("text", normalize_newlines(F.col("text")))).filter("day is not null")
     d = match_offsets(d, spec.pattern).withColumn("x_split", F.split("text", "\n", -1)).withColumn("n_lines", F.size("x_split"))
     d = merge_blocks(d, spec)
-    d = d.select("entity", "row_no", "day", "x_split", F.posexplode("blocks").alias("block_no", "b"))
+    d = d.select("entity", "row_no", "day", "x_split", F.posexplode_outer("blocks").alias("block_no", "b"))
     text = F.array_join(F.slice("x_split", F.col("b.start") + 1, F.col("b.end") - F.col("b.start") + 1), "\n")
     return d.select("entity", "row_no", "day", "block_no", F.col("b.start").alias("start"), F.col("b.end").alias("end"), text.alias("excerpt"))
 
