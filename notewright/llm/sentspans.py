@@ -1,10 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (up to a run of ``.``, ``!``, ``?`` or a newline, with the white space after it; a sentence of more
-than ``chop`` words counts as several, cut every ``chop`` words from its start). From every sentence the shortest run of at least
-two sentences and ``min_words`` words is hashed, and so is the shortest such run that ends with every sentence, so that a
-shared passage is covered from its first whole sentence to its last. Runs compare by words in lower case. The runs
-are joined over all documents; a sentence goes when a run that covers it has an equal run earlier, by doc_id and place.
+A text is cut into sentences (up to a run of ``.``, ``!``, ``?`` or a newline, with the white space after it). A sentence of
+at least w = ``chop`` // 2 words is cut further by content, into pieces of at most w words that count as sentences: before each word
+whose three-word hash is the least of w neighbours (the last of equal ones). Whatever comes before or after a shared passage,
+its cuts are the same but for w words at its start and w + 2 at its end, so with the defaults every passage
+of 50 words is found, wherever it starts and ends in a sentence. From every piece the shortest run of at least two pieces and
+``min_words`` words is hashed, and so is the shortest such run that ends with every piece, so that a
+shared passage is covered from its first common cut to its last. Runs compare by words in lower case. Those
+that another may equal (a filter of at most 2^``most_bits`` bits tells; what it can't tell apart costs disk, not results)
+are joined over all documents; a piece goes when a run that covers it has an equal run earlier, by doc_id and place.
 
 A null text is an empty one; rows without a doc_id come after all others. Rows that repeat a doc_id with the same text are
 one document (twins are treated alike); with another text they are compared like any two documents. Empty tables
@@ -22,33 +26,83 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
+from .common import store
+
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n][.!?\s]*|[^.!?\n]+")
 WORD = re.compile(r"\S+")
 LAST = 2**63 - 1
 
 
-def sentences(text: str, chop: int) -> tuple[list[int], list[str], list[int]]:
-    """Ends (code points) of the sentences, which cover the text, their words in lower case, and how many."""
-    ends, keys, counts, at = [], [], [], 0
-    for s in SENTENCE.findall(text):
-        w = s.lower().split()
-        if len(w) > chop:
-            stops = [m.start() for m in WORD.finditer(s)][chop::chop]
-            for k, stop in enumerate([*stops, len(s)]):
-                part = w[k * chop : (k + 1) * chop]
-                ends.append(at + stop)
-                keys.append(" ".join(part))
-                counts.append(len(part))
-        else:
-            ends.append(at + len(s))
-            keys.append(" ".join(w))
-            counts.append(len(w))
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        return h
+
+
+HASHES = _Hashes()
+
+
+def cuts(w: list[str], lengths: list[int], span: int) -> list[int]:
+    """Places before which sentences (their words in a row, ``lengths`` of them each, ``span`` at least) are cut inside.
+
+    A cut is the least three-word hash of ``span`` neighbours of a sentence, the last of equal ones.
+    """
+    if len(HASHES) > 500_000:
+        HASHES.clear()
+    one = np.zeros(len(w) + 2, dtype=np.uint64)
+    one[:-2] = [HASHES[x] for x in w]
+    ends = np.cumsum(lengths)
+    left = np.repeat(ends, lengths) - np.arange(len(w))
+    h = one[:-2] * np.uint64(0x9E3779B97F4A7C15)
+    h += np.where(left > 1, one[1:-1], 0) * np.uint64(0xC2B2AE3D27D4EB4F) + np.where(left > 2, one[2:], 0) * np.uint64(0x165667B19E3779F9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h = h >> np.uint64(24) << np.uint64(24) | (np.uint64(2**24 - 1) - np.arange(len(w), dtype=np.uint64) % np.uint64(2**24))
+    width = 1
+    while width < span:
+        step = min(width, span - width)
+        h, width = np.minimum(h[:-step], h[step:]), width + step
+    windows = np.flatnonzero(left[: len(h)] >= span)
+    least = (2**24 - 1 - (h[windows] & np.uint64(2**24 - 1)).astype(np.int64) - windows) % 2**24 + windows
+    flag = np.zeros(len(w), dtype=bool)
+    flag[least] = True
+    flag[ends[:-1]] = flag[0] = False
+    return np.flatnonzero(flag).tolist()
+
+
+def sentences(text: str, chop: int, with_ends: bool = True) -> tuple[list[int], list[str], list[int]]:
+    """Ends (code points; without ``with_ends`` only their number counts) of the pieces, which cover the text, their words in lower case, and how many."""
+    ends, keys, counts, at, span = [], [], [], 0, max(1, chop // 2)
+    split = [(s, s.lower().split()) for s in SENTENCE.findall(text)]
+    long = [w for _, w in split if len(w) >= span]
+    places, i, gone = cuts([x for w in long for x in w], [len(w) for w in long], span) if long else [], 0, 0
+    for s, w in split:
+        n, first = len(w), i
+        if n >= span:
+            while i < len(places) and places[i] < gone + n:
+                i += 1
+        if i > first:
+            starts = [m.start() for m in WORD.finditer(s)] if with_ends else [0] * n
+            x = 0
+            for y in places[first:i]:
+                y -= gone
+                ends.append(at + starts[y])
+                keys.append(" ".join(w[x:y]))
+                counts.append(y - x)
+                x = y
+            w = w[x:]
+        ends.append(at + len(s))
+        keys.append(" ".join(w))
+        counts.append(len(w))
         at += len(s)
+        if n >= span:
+            gone += n
     return ends, keys, counts
 
 
 def runs(counts: list[int], min_words: int) -> set[tuple[int, int]]:
-    """(first, last) of the shortest runs from and up to every sentence with words."""
+    """(first, last) of the shortest runs from and up to every piece with words."""
     full = [i for i, n in enumerate(counts) if n]
     out, total, j = set(), 0, 0
     for a in range(len(full)):  # the shortest from full[a]
@@ -71,20 +125,53 @@ def runs(counts: list[int], min_words: int) -> set[tuple[int, int]]:
     return out
 
 
-def _spans(min_words: int, chop: int):
+def _hashed(batches: Iterator[pd.DataFrame], min_words: int, chop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """did, place and the two halves of the hash of every run, for 512 texts at a time."""
+    for pdf in batches:
+        for lo in range(0, len(pdf), 512):
+            part = pdf.iloc[lo : lo + 512]
+            ids, places, digests = [], [], []
+            for did, crc, text in zip(part["did"].tolist(), part["crc"].tolist(), part["text"].tolist(), strict=True):
+                _, keys, counts = sentences(text, chop, False)
+                for a, b in runs(counts, min_words):
+                    ids.append(did)
+                    places.append(crc << 40 | a << 12 | min(b - a, 4095))
+                    digests.append(xxhash.xxh3_128_digest(" ".join(keys[a : b + 1]).encode("utf-8", "replace")))
+            yield np.array(ids, dtype=np.int64), np.array(places, dtype=np.int64), np.frombuffer(b"".join(digests), dtype=">i8").reshape(-1, 2).astype(np.int64)
+
+
+def _taken(min_words: int, chop: int, bits: int):
+    """The task's slots of the filter, once and more often taken."""
+    low = min(16, bits)
+
+    def rows(held: list[np.ndarray]) -> pd.DataFrame:
+        slots, counts = np.unique(np.concatenate(held), return_counts=True)
+        chunk, offset = slots >> low, (slots & (2**low - 1)).astype(np.uint16)
+        edges = np.append(np.flatnonzero(np.diff(chunk, prepend=-1)), len(chunk))
+        parts = [(int(chunk[x]), offset[x:y].tobytes(), offset[x:y][counts[x:y] > 1].tobytes()) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        return pd.DataFrame(parts, columns=["chunk", "ones", "twos"])
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo : lo + 512]
-                ids, places, digests = [], [], []
-                for did, crc, text in zip(part["did"].tolist(), part["crc"].tolist(), part["text"].tolist(), strict=True):
-                    _, keys, counts = sentences(text, chop)
-                    for a, b in runs(counts, min_words):
-                        ids.append(did)
-                        places.append(crc << 40 | a << 12 | min(b - a, 4095))
-                        digests.append(xxhash.xxh3_128_digest("\n".join(keys[a : b + 1]).encode("utf-8", "replace")))
-                h = np.frombuffer(b"".join(digests), dtype=">i8").reshape(-1, 2)
-                yield pd.DataFrame({"did": np.array(ids, dtype=np.int64), "place": np.array(places, dtype=np.int64), "h1": h[:, 0].astype(np.int64), "h2": (h[:, 1] >> 32).astype(np.int32)})
+        held, n = [], 0
+        for _, _, h in _hashed(batches, min_words, chop):
+            held.append(jaccard._slots(h[:, 0].copy(), bits))
+            n += len(h)
+            if n > 2_000_000:
+                yield rows(held)
+                held, n = [], 0
+        if n:
+            yield rows(held)
+
+    return emit
+
+
+def _spans(min_words: int, chop: int, shared, bits: int):
+    """The runs that another may equal."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, places, h in _hashed(batches, min_words, chop):
+            keep = jaccard.shared_tokens(h[:, 0].copy(), shared.value, bits)
+            yield pd.DataFrame({"did": ids[keep], "place": places[keep], "h1": h[keep, 0], "h2": (h[keep, 1] >> 32).astype(np.int32)})
 
     return emit
 
@@ -94,13 +181,14 @@ def _clean(chop: int):
         for pdf in batches:
             texts, totals, gone, spans = [], [], [], []
             for text, places in zip(pdf["text"].tolist(), pdf["places"].tolist(), strict=True):
-                ends, _, counts = sentences(text or "", chop)
+                ends, _, counts = sentences(text or "", chop, places is not None)
                 total = sum(1 for n in counts if n)
+                if places is None:
+                    ends = [len(text)] if text else []
                 drop = np.zeros(len(ends), dtype=bool)
-                if places is not None:
-                    for p in places:
-                        first = p >> 12 & 0xFFFFFFF
-                        drop[first : first + (p & 4095) + 1] = True
+                for p in places if places is not None else []:
+                    first = p >> 12 & 0xFFFFFFF
+                    drop[first : first + (p & 4095) + 1] = True
                 out, said, at, n = [], [], 0, 0
                 for i, end in enumerate(ends):
                     if drop[i]:
@@ -121,11 +209,20 @@ def _clean(chop: int):
     return apply
 
 
-def dedup_spans(docs: DataFrame, min_words: int = 25, chop: int = 25) -> DataFrame:
-    """doc_id, text without the sentences of non-first runs, n_sentences, n_removed, removed (``start:end`` in code points, joined by commas)."""
+def dedup_spans(docs: DataFrame, min_words: int = 25, chop: int = 25, most_bits: int = 28) -> DataFrame:
+    """doc_id, text without the pieces of non-first runs, n_sentences and n_removed (pieces with words), removed (``start:end`` in code points, joined by commas)."""
     crc = F.crc32(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0x7FFFFF))
     d = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("did"), crc.alias("crc"))
-    spans = d.select("did", "crc", "text").filter("text is not null").mapInPandas(_spans(min_words, chop), "did long, place long, h1 long, h2 int")
+    texts = d.select("did", "crc", "text").filter("text is not null")
+    chars = docs.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+    bits = max(10, min(most_bits, (chars // 3).bit_length()))
+    low = min(16, bits)
+    slots = np.zeros((2 ** (bits - low), 2**low // 8), dtype=np.uint8)
+    taken = texts.mapInPandas(_taken(min_words, chop, bits), "chunk long, ones binary, twos binary")
+    for r in taken.groupBy("chunk").applyInPandas(jaccard._shared_slots(low), "chunk long, bits binary").toLocalIterator():
+        slots[r["chunk"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(slots.reshape(-1))
+    spans = store(texts.mapInPandas(_spans(min_words, chop, shared, bits), "did long, place long, h1 long, h2 int"), "spans-runs")
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("did", "place")).alias("first"), F.max(F.struct("did", "place")).alias("last"))
     first = first.filter("first < last").select("h1", "h2", "first")
     later = spans.join(first, ["h1", "h2"]).filter(F.struct("did", "place") > F.col("first")).select("did", "place")

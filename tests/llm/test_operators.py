@@ -214,6 +214,36 @@ def test_span_dedup(spark):
     assert got[8]["text"].startswith("No. ")
 
 
+def test_span_dedup_at_every_offset(spark):
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(50)]
+    cut = [w + ("." if i in (14, 32) else "") for i, w in enumerate(passage)]
+    rows = [(0, " ".join(["z0", *passage, "z1"])), (1, " ".join(["y0", *cut, "y1"]))]
+    for i in range(60):
+        around = [f"{r.randrange(10**9)}x" for _ in range(i + 40)]
+        rows.append((10 + 2 * i, " ".join([*around[:i], *passage, *around[i:]])))
+        rows.append((11 + 2 * i, " ".join([*around[:i][::-1], *cut, *around[i:][::-1]])))
+    got = {x["doc_id"]: x["text"] for x in sentspans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        if d < 2:
+            assert got[d] == text
+        else:
+            gone = set(text.split()) - set(got[d].split())
+            assert len(gone) >= 25
+            assert gone <= set(passage) | set(cut)
+
+
+def test_pieces_cover_the_text():
+    r = random.Random(12)
+    for _ in range(200):
+        text = " ".join(r.choice(["a", "É", "x.", "long\n", "w1", "w2 ", "w3"]) for _ in range(r.randrange(0, 90)))
+        ends, keys, counts = sentspans.sentences(text, 25)
+        assert ends == sorted(set(ends))
+        assert (ends[-1] if ends else 0) == len(text)
+        assert [k for a, b in zip([0, *ends], ends) for k in text[a:b].lower().split()] == " ".join(keys).split()
+        assert max(counts, default=0) <= 12
+
+
 def test_runs_cover_by_brute_force():
     r = random.Random(4)
     for _ in range(300):
