@@ -11,7 +11,7 @@ documents, whose prefixes would give too many pairs, index frequent tokens singl
 lie on either side of it).
 
 Documents with an index entry in common are linked into candidate components through one hub per entry, so that no bucket
-is expanded into pairs. A component's sets are then verified exactly: each set goes once to the task that holds its
+is expanded into pairs. A set of one token, which links only with its equals, is indexed by it. A component's sets are then verified exactly: each set goes once to the task that holds its
 component, which walks it breadth first, comparing sets not reached yet. Components beyond ``max_tokens`` are verified by
 joins instead (``_verify_large``): entries give hub pairs, and only documents that stay outside the largest group
 are paired with all their entry's documents.
@@ -140,7 +140,7 @@ def entries(h: np.ndarray, level: np.ndarray, filter_bits: np.ndarray, bits: int
     """
     n = len(h)
     if n < 2:
-        return h[:0]
+        return h[shared_tokens(h, filter_bits, bits)]
     size = min(n, n - -(-percent * n // 100) + 2)
     shared = shared_tokens(h, filter_bits, bits)
     if n - int(shared.sum()) >= size:

@@ -75,6 +75,14 @@ def test_jaccard_components_are_exact(docs, k, percent, most):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize(("k", "percent", "most"), [(3, 90, 2_000_000), (3, 90, 0), (5, 80, 2_000_000), (5, 80, 0)])
+def test_jaccard_links_sets_of_one_shingle(spark, k, percent, most):
+    texts = ["a b c", "a b c\n", "a  b\tc", "A b C ", "a b", "a\nb", "a", " a", *["spam " * n for n in (4, 10, 11, 500)], "spam spam", "spam  spam", "a b c d", "other words here", None]
+    rows = list(enumerate(texts))
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), k, percent, most).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows, k, percent)
+
+
 def test_near_duplicates_keep_one_of_each_group_and_all_columns(docs):
     kept = jaccard.drop_near_duplicates(docs, k=5, percent=80)
     assert kept.columns == docs.columns
