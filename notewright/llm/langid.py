@@ -12,7 +12,7 @@ Four kinds of evidence are added as log-likelihoods for each language:
 The languages are those that at least ``min_share`` of the rows (and ``min_rows``) declare, the 64 most frequent at most. The driver holds
 their trigram tables (65,536 numbers each) and nothing per row or host.
 
-A row is rejected if its text fits no language (its mean log-likelihood lies ``far`` deviations below that of its language's rows), or if the
+A row is rejected if its text fits no language (its mean log-likelihood lies ``far`` deviations below that of its language's rows) and it doesn't declare one without a model, or if the
 fused language contradicts a declared one with at least ``sure`` confidence; rows with fewer than ``min_grams`` trigrams (for the
 first reason, three times that) are never rejected. A null or empty text gives no text evidence; a null declaration, suffix or host gives none of its own. Without any declared
 language lang is null and nothing is rejected. Repeated rows count each; an empty table gives an empty result.
@@ -140,7 +140,8 @@ def identify(rows: DataFrame, min_share: float = 0.005, min_rows: int = 3, most_
     s = s.withColumn("confidence", 1 / F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - peak)))
     s = s.withColumn("lang", F.get(names, F.array_position("fused", peak).cast("int") - 1)).withColumn("text_lang", F.get(names, F.col("best")))
     floor = F.array(*[F.lit(float(g[f"m{i}"] - far * g[f"s{i}"]) if g[f"s{i}"] is not None else -1e9) for i in range(k)])
-    odd = F.coalesce(F.col("fit") < F.get(floor, F.col("best")), F.lit(False))
+    modelled = F.col("declared").isNull() | F.array_contains(names, F.col("declared"))
+    odd = F.coalesce(modelled & (F.col("fit") < F.get(floor, F.col("best"))), F.lit(False))
     other = F.coalesce((F.col("n_grams") >= min_grams) & F.array_contains(names, F.col("declared")) & (F.col("lang") != F.col("declared")) & (F.col("confidence") >= sure), F.lit(False))
     return s.select("id", "declared", "suffix", "domain", "host", "n_grams", "text_lang", "lang", F.round("confidence", 6).alias("confidence"), (odd | other).alias("rejected"))
 

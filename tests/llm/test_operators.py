@@ -327,6 +327,15 @@ def test_language_of_pages(spark):
     assert langid.identify_pages(d.limit(0)).count() == 0
 
 
+def test_rare_language_is_not_rejected(spark):
+    r = random.Random(13)
+    say = lambda vocab: " ".join(r.choice(vocab) for _ in range(200))
+    rows = [(i, say(quality.COMMON["en"]), "en", "a") for i in range(400)] + [(1000, say(["żółć", "gęślą", "jaźń", "łąka"]), "pl", "a"), (1001, say(["żółć", "gęślą", "jaźń", "łąka"]), None, "a")]
+    got = {x["doc_id"]: x["rejected"] for x in langid.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[1000]
+    assert got[1001]
+
+
 def test_toxicity_learns_only_from_the_rest(spark):
     r = random.Random(9)
     rows, labels = [], []
