@@ -1,14 +1,15 @@
-"""Shared pieces of the training-data operators: word splitting, shared-folder tables, safe broadcasts."""
+"""Shared pieces of the training-data operators: word splitting, shared-folder tables (``store``), safe broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import discard  # noqa: F401
+from ..session import materialise as store  # noqa: F401
+
 #: White space of every contract: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
@@ -24,35 +25,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='notewright-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        _delete_on_exit(spark, found)
-    return found
-
-
-def _delete_on_exit(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back.
-
-    A lost executor then costs no recomputation, and loops keep short plans. The files go when the
-    driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/notewright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast ``df`` if a count shows at most ``rows`` rows; beyond that a shuffle join does the same work.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import discard, store
 
 
 def _mark(e: DataFrame) -> tuple:
@@ -29,8 +29,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         pairs = large.join(low, "v").select("u", "v", "m")
         small = pairs.filter("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(low.select(F.col("m").alias("u"), "v")).distinct()
-        e = store(small, "components")
+        was_e, e = e, store(small, "components")
         was, mark = mark, _mark(e)
+        discard(was_e)
         if mark == was:
             break
     else:
