@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by learned partitions.
 
-A bounded sample of the vectors (``sample`` rows, by hash of the id) gives a neighbour graph, which is cut into balanced parts:
-halved again and again along its leading directions, then refined by moving nodes to the part of most of their neighbours as far as
+A bounded sample of the vectors (``sample`` rows or 32 for each part, by hash of the id) gives a neighbour graph, which is cut into balanced
+parts: halved again and again along its leading directions, then refined by moving nodes to the part of most of their neighbours as far as
 the parts' capacity allows. A classifier with one hidden layer learns the parts of a node and its neighbours from the vector.
 It assigns every vector of the table to its most probable part, and routes a query to its most probable parts, as many as gave
 ``target`` recall on sample queries. There the query meets all vectors of the part, and what it finds is scored anew
 in double precision, one dimension after the other.
 
+The parts follow the table: one for ``rows_per_part`` vectors, but ``least_parts`` (as far as 16 vectors are there for each) and
+``most_parts`` at most, rounded down to a power of two. So small tables are routed too.
+
 Parts are split into blocks of rows and of queries, so that a task holds one block of each. Equal vectors are one entry with the ids
 that can be among the nearest (the ``k`` + 1 smallest): all others of them rank behind.
 
@@ -109,13 +112,13 @@ class Router:
 
 def learn(x: np.ndarray, parts: int, k: int, target: float, graph_k: int = 10) -> tuple[Router, int]:
     """(router, probes): fitted on the sample; probes by the recall of up to 400 of its rows as queries."""
-    if len(x) < 4 * parts:
-        parts = 1
+    while parts > 1 and len(x) < 4 * parts:
+        parts //= 2
     if parts == 1:
         return Router(x.shape[1], 1), 1
     graph = neighbours(x, graph_k)
     of = balanced_parts(x, graph, parts)
-    soft = np.zeros((len(x), parts))
+    soft = np.zeros((len(x), parts), dtype=np.float32)
     for g in (np.arange(len(x))[:, None], graph):
         for c in range(g.shape[1]):
             soft[np.arange(len(x)), of[g[:, c]]] += 3.0 if g.shape[1] == 1 else 1.0
@@ -170,16 +173,22 @@ def clean(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return d.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 8_000, target: float = 0.97, block: int = 16_384, query_block: int = 4_096, rows_per_part: int = 2_000, most_parts: int = 256) -> DataFrame:
+def parts_for(n: int, rows_per_part: int, least_parts: int, most_parts: int) -> int:
+    """Parts for n vectors, a power of two."""
+    return 1 << max(1, min(most_parts, max(n // rows_per_part, min(least_parts, n // 16)))).bit_length() - 1
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 8_000, target: float = 0.97, block: int = 16_384, query_block: int = 4_096, rows_per_part: int = 2_000, least_parts: int = 16, most_parts: int = 1_024) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every vector whose id is divisible by ``every``."""
     d = store(clean(vectors), "ann-vectors")
     n = d.count()
+    parts = parts_for(n, rows_per_part, least_parts, most_parts)
+    sample = max(sample, 32 * parts)
     h = F.xxhash64("vec_id", F.lit("ann"))
     ids = F.broadcast(d.select("vec_id", h.alias("h")).orderBy("h", "vec_id").limit(sample).select("vec_id"))
     got = d.join(ids, "vec_id", "left_semi").toPandas().sort_values("vec_id")
     x = _stack(got["v"])
     del got
-    parts = 1 << max(0, min(most_parts, n // rows_per_part).bit_length() - 1) if n else 1
     router, probes = learn(x, parts, k, target) if len(x) else (Router(1, 1), 1)
 
     def route(m: int):
