@@ -9,8 +9,9 @@ Four kinds of evidence are added as log-likelihoods for each language:
 * the host's prior: counts of the host's rows by text language, smoothed towards its domain's, which are
   smoothed towards all rows'.
 
-The languages are those that at least ``min_share`` of the rows (and ``min_rows``) declare, the 64 most frequent at most. The driver holds
-their trigram tables (65,536 numbers each) and nothing per row or host.
+The languages are all that at least ``min_rows`` rows declare, however small their share. Their trigram tables (65,536 numbers, 256 KB
+each) are all that driver and workers hold; ``most_langs`` bounds that memory. Rows that declare a language beyond it keep
+that language as lang where their text fits none of the others, and are never rejected.
 
 A row is rejected if its text fits no language (its mean log-likelihood lies ``far`` deviations below that of its language's rows) and it doesn't declare one without a model, or if the
 fused language contradicts a declared one with at least ``sure`` confidence; rows with fewer than ``min_grams`` trigrams (for the
@@ -23,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +43,9 @@ def grams(text: str | None) -> np.ndarray:
     return (b[:-2] * 961 + b[1:-1] * 31 + b[2:] * 7919 + (b[:-2] ^ b[2:]) * 257) % GRAMS
 
 
-def _languages(d: DataFrame, min_share: float, min_rows: int) -> list[str]:
-    c = d.filter("declared is not null").groupBy("declared").count()
-    top = c.orderBy(F.desc("count"), "declared").limit(64).collect()
-    total = c.agg(F.sum("count")).collect()[0][0] or 0
-    return sorted(r["declared"] for r in top if r["count"] >= max(min_rows, min_share * total))
+def _languages(d: DataFrame, min_rows: int, most_langs: int) -> list[str]:
+    c = d.filter("declared is not null").groupBy("declared").count().filter(F.col("count") >= min_rows)
+    return sorted(r["declared"] for r in c.orderBy(F.desc("count"), "declared").limit(most_langs).collect())
 
 
 def _count(langs: list[str]):
@@ -78,10 +76,10 @@ def _array(columns: list[Column]) -> Column:
     return F.array(*columns)
 
 
-def identify(rows: DataFrame, min_share: float = 0.005, min_rows: int = 3, most_grams: int = 150, min_grams: int = 60, sure: float = 0.99, far: float = 8.0, prior_weight: float = 5.0) -> DataFrame:
+def identify(rows: DataFrame, min_rows: int = 3, most_langs: int = 256, most_grams: int = 150, min_grams: int = 60, sure: float = 0.99, far: float = 8.0, prior_weight: float = 5.0) -> DataFrame:
     """Adds n_grams, text_lang, lang, confidence, rejected to (id, declared, suffix, domain, host); ``rows`` needs those and text."""
     d = rows.select("id", "declared", "suffix", "domain", "host", "text")
-    langs = _languages(d, min_share, min_rows)
+    langs = _languages(d, min_rows, most_langs)
     names = F.array(*[F.lit(x) for x in langs]).cast("array<string>")
     k = len(langs)
     if not k:
@@ -89,18 +87,21 @@ def identify(rows: DataFrame, min_share: float = 0.005, min_rows: int = 3, most_
         return d.select("id", "declared", "suffix", "domain", "host", F.lit(0).cast("long").alias("n_grams"), *none)
     model = rows.sparkSession.sparkContext.broadcast(text_model(d, langs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    keep = ["id", "declared", "suffix", "domain", "host"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for pdf in batches:
+        for b in batches:
             n, ll = [], []
-            for text in pdf["text"].tolist():
+            for text in b.column("text").to_pylist():
                 g = grams(text)
                 n.append(len(g))
                 ll.append(m[:, g].mean(1, dtype=np.float64) if len(g) else np.zeros(len(m)))
-            yield pdf.drop(columns="text").assign(n_grams=n, ll=ll)
+            columns = [*[b.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(ll, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_grams", "ll"])
 
     kinds = ", ".join(f"{c} {t}" for c, t in d.drop("text").dtypes)
-    s = store(d.mapInPandas(run, f"{kinds}, n_grams long, ll array<double>"), "langid-scores")
+    s = store(d.mapInArrow(run, f"{kinds}, n_grams long, ll array<double>"), "langid-scores")
     top = F.array_position("ll", F.array_max("ll")).cast("int") - 1
     s = s.withColumn("best", F.when(F.col("n_grams") > 0, top)).withColumn("fit", F.when(F.col("n_grams") >= 3 * min_grams, F.array_max("ll")))
     each = [F.sum((F.col("best") == i).cast("long")).alias(f"c{i}") for i in range(k)]
@@ -141,9 +142,10 @@ def identify(rows: DataFrame, min_share: float = 0.005, min_rows: int = 3, most_
     s = s.withColumn("lang", F.get(names, F.array_position("fused", peak).cast("int") - 1)).withColumn("text_lang", F.get(names, F.col("best")))
     floor = F.array(*[F.lit(float(g[f"m{i}"] - far * g[f"s{i}"]) if g[f"s{i}"] is not None else -1e9) for i in range(k)])
     modelled = F.col("declared").isNull() | F.array_contains(names, F.col("declared"))
-    odd = F.coalesce(modelled & (F.col("fit") < F.get(floor, F.col("best"))), F.lit(False))
+    unlike = F.coalesce(F.col("fit") < F.get(floor, F.col("best")), F.lit(False))
+    odd = modelled & unlike
     other = F.coalesce((F.col("n_grams") >= min_grams) & F.array_contains(names, F.col("declared")) & (F.col("lang") != F.col("declared")) & (F.col("confidence") >= sure), F.lit(False))
-    return s.select("id", "declared", "suffix", "domain", "host", "n_grams", "text_lang", "lang", F.round("confidence", 6).alias("confidence"), (odd | other).alias("rejected"))
+    return s.select("id", "declared", "suffix", "domain", "host", "n_grams", "text_lang", F.when(~modelled & unlike, F.col("declared")).otherwise(F.col("lang")).alias("lang"), F.round("confidence", 6).alias("confidence"), (odd | other).alias("rejected"))
 
 
 def identify_pages(pages: DataFrame, **kw) -> DataFrame:
