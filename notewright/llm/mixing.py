@@ -4,7 +4,8 @@ Every source's documents are dealt into shards of bounded size by a seeded hash,
 hash, and cut into blocks of ``block`` words. The number of blocks to take is apportioned twice by highest
 quotients (votes / 1, 3, 5, ...): among sources, by their target words, and among the shards of a source,
 by their words. A shard takes each of its blocks ``quota div blocks`` times, and ``quota mod blocks`` blocks,
-picked by a seeded permutation, once more.
+picked by a seeded permutation, once more. Sources whose target is under 100 blocks are apportioned among themselves in
+blocks a 16th as long (and so on, down to single words), so that a source of any size comes near its target.
 
 Nulls: a null text has size 0 and is never taken; a null source is a source of its own, last in order; a null
 doc_id is ordered by its text. Empty tables give an empty result. Repeated rows are separate documents. The
@@ -75,6 +76,32 @@ def apportion(votes: list[float], seats: int, caps: list[int]) -> list[int]:
     return got
 
 
+def block_lengths(goal: list[float], block: int) -> list[int]:
+    """The block of each source: ``block`` words, divided by 16 until its target has 100 of them or a block is one word."""
+    out = []
+    for g in goal:
+        b = block
+        while b > 1 and g < 100 * b:
+            b = max(1, b // 16)
+        out.append(b)
+    return out
+
+
+def seats(goal: list[float], lengths: list[int], words: list[list[int]], repeat: int) -> list[list[int]]:
+    """Blocks to take of each shard of each source, apportioned among the sources with blocks of one length, then among a source's shards."""
+    quotas = [0] * len(goal)
+    blocks = [sum(-(-w // b) for w in ws) for ws, b in zip(words, lengths, strict=True)]
+    for b in set(lengths):
+        at = [i for i, x in enumerate(lengths) if x == b]
+        for i, q in zip(at, apportion([goal[i] for i in at], round(sum(goal[i] for i in at) / b), [repeat * blocks[i] for i in at]), strict=True):
+            quotas[i] = q
+    out = []
+    for ws, b, q in zip(words, lengths, quotas, strict=True):
+        caps = [repeat * -(-w // b) for w in ws]
+        out.append(apportion([float(w) for w in ws], q, caps) if sum(caps) else [0] * len(ws))
+    return out
+
+
 def _permutation(n: int, seed: int) -> tuple[int, int]:
     """(a, b) of the permutation k -> (a k + b) mod n."""
     a = seed * 2_654_435_761 % n or 1
@@ -84,7 +111,7 @@ def _permutation(n: int, seed: int) -> tuple[int, int]:
 
 
 def plan(docs: DataFrame, block: int | None = None, shard_docs: int = 20_000, share: float = 1.5, repeat: int = 2, weights=WEIGHTS, seed: int = SEED):
-    """(documents with size, source, shard and key; table of shards with quotas)."""
+    """(documents with size, source, shard and key; table of shards with quotas and block lengths)."""
     spark = docs.sparkSession
     d = docs.select(
         F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"),
@@ -106,27 +133,26 @@ def plan(docs: DataFrame, block: int | None = None, shard_docs: int = 20_000, sh
     of: dict = {}
     for r in shards:
         of.setdefault(r["source"], []).append((r["shard"], int(r["w"])))
-    blocks = [sum(-(-w // block) for _, w in of[r["source"]]) for r in per]
-    quotas = apportion(goal, round(sum(goal) / block), [repeat * b for b in blocks]) if per else []
+    lengths = block_lengths(goal, block)
+    words_of = [[w for _, w in of[r["source"]]] for r in per]
     out = []
-    for at, (r, q) in enumerate(zip(per, quotas, strict=True)):
-        mine = of[r["source"]]
-        ns = [-(-w // block) for _, w in mine]
-        for (shard, w), n, m in zip(mine, ns, apportion([float(w) for _, w in mine], q, [repeat * n for n in ns]) if sum(ns) else [0] * len(ns), strict=True):
-            a, b = _permutation(max(n, 1), seed + 7919 * at + shard)
-            out.append((r["source"], shard, n, m // max(n, 1), m % max(n, 1), a, b))
-    names = ["n_blocks", "every", "extra", "pa", "pb"]
+    for at, (r, b, quotas) in enumerate(zip(per, lengths, seats(goal, lengths, words_of, repeat), strict=True)):
+        for (shard, w), m in zip(of[r["source"]], quotas, strict=True):
+            n = max(1, -(-w // b))
+            pa, pb = _permutation(n, seed + 7919 * at + shard)
+            out.append((r["source"], shard, n, m // n, m % n, pa, pb, b))
+    names = ["n_blocks", "every", "extra", "pa", "pb", "block"]
     schema = T.StructType([T.StructField("s_source", T.StringType()), T.StructField("s_shard", T.LongType())] + [T.StructField(x, T.LongType()) for x in names])
-    return d, store(spark.createDataFrame(out, schema), "mix-shards"), block
+    return d, store(spark.createDataFrame(out, schema), "mix-shards")
 
 
 def mix_blocks(docs: DataFrame, **kw) -> DataFrame:
     """Per document: size, source_size, target, and ``blocks``: its overlaps (start word, words, times taken) with the shard's blocks."""
-    d, shards, block = plan(docs, **kw)
+    d, shards = plan(docs, **kw)
     w = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size", "t").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("c1", F.sum("size").over(w)).withColumn("c0", F.col("c1") - F.col("size"))
     d = d.join(broadcast_if_small(shards, 100_000), F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
-    b = F.lit(block)
+    b = F.col("block")
 
     def overlap(k):
         lo, hi = F.greatest(k * b, F.col("c0")), F.least((k + 1) * b, F.col("c1"))
@@ -150,10 +176,17 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     A pass takes the whole text where it takes all of its blocks, else the taken words joined by single
     spaces; n_chars follows. Documents of which nothing is taken have no row.
     """
-    took = mix_blocks(docs, **kw).select(F.col("doc_id").alias("m_doc"), F.col("t").alias("m_t"), F.col("size").alias("m_size"), F.col("blocks").alias("m_blocks"))
-    took = took.filter(F.exists("m_blocks", lambda x: x["times"] > 0)).dropDuplicates(["m_doc", "m_t"])
     seed = kw.get("seed", SEED)
-    d = docs.withColumn("m_key", F.xxhash64(F.col("text"), F.lit(seed))).join(took, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("m_key") == F.col("m_t")))
+    key = ["m_doc", "m_t", "m_source"]
+    took = mix_blocks(docs, **kw).select(F.col("doc_id").alias("m_doc"), F.col("t").alias("m_t"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.col("blocks").alias("m_blocks"))
+    took = store(took.filter("m_size > 0"), "mix-taken")
+    d = docs.withColumn("d_t", F.xxhash64(F.col("text"), F.lit(seed)))
+    same = F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("d_t") == F.col("m_t")) & F.col("source").eqNullSafe(F.col("m_source"))
+    if took.groupBy(*key).count().filter("count > 1").limit(1).count():  # repeated rows are told apart by a number
+        took = took.withColumn("m_no", F.row_number().over(Window.partitionBy(*key).orderBy("m_blocks")))
+        d = d.withColumn("d_no", F.row_number().over(Window.partitionBy("doc_id", "d_t", "source").orderBy("d_t")))
+        same = same & (F.col("d_no") == F.col("m_no"))
+    d = d.join(took.filter(F.exists("m_blocks", lambda x: x["times"] > 0)), same)
     most = F.array_max(F.transform("m_blocks", lambda x: x["times"]))
     d = d.withColumn("m_pass", F.explode(F.sequence(F.lit(1).cast("long"), most)))
     d = d.withColumn("m_kept", F.filter("m_blocks", lambda x: x["times"] >= F.col("m_pass"))).filter(F.size("m_kept") > 0)
