@@ -2,13 +2,14 @@
 
 The models are order-1 transition tables over the characters of keys and identifiers, counted from labelled
 samples: seeded random strings (hexadecimal, base64, base62) against words of a bounded sample of documents and
-identifiers made of them (``word``, ``word_word``, ``wordWord``, ``word123``). A candidate token is flagged when the
-mean log-likelihood ratio of its transitions reaches ``min_llr`` and it holds a letter and a digit.
+identifiers made of them (``word``, ``word_word``, ``wordWord``, ``word123``). A candidate token (20 characters or more, with a
+letter and a digit, or letters of both cases) is flagged when the mean log-likelihood ratio of its transitions reaches ``min_llr``, or
+``bare_llr`` if it holds no digit.
 
 DataFrame functions only. Offsets are code points, ends exclusive. A null text is an empty one and has no span; a
 null doc_id stays null; repeated rows are scanned each; an empty table gives an empty result and, for lack of
-words, models of random strings against a flat table. Spans of the models that overlap a pattern's span are dropped, the
-pattern's stay.
+words, models of random strings against a flat table. Spans of the models that lie within a pattern's span are dropped; those that
+reach beyond it stay beside it. Texts of any length are scanned whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,9 +64,10 @@ def labelled_samples(docs: DataFrame, sample_docs: int = 400, n_random: int = 40
     rnd = spark.range(n_random).select(
         F.when(F.col("id") % 3 == 0, F.substring(digest, F.lit(1), size)).when(F.col("id") % 3 == 1, F.substring(b64, F.lit(1), size))
         .otherwise(F.substring(F.translate(b64, "+/=", "xQ7"), F.lit(1), size)).alias("value"), F.lit(True).alias("random"))
-    h = F.xxhash64("doc_id", F.lit("markov"))
-    last = docs.select(h.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).collect()[0][0]
-    text = docs.filter(h <= last) if last is not None else docs
+    h = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit("markov"))
+    some = min(1.0, 4 * sample_docs / max(docs.count(), 1))  # thins out what is sorted; a few times the sample is left
+    few = docs.select(h.alias("h"), "text").filter(F.pmod("h", F.lit(2**31)) <= some * 2**31)
+    text = few.orderBy("h", "text").limit(sample_docs)
     w = text.select(F.filter(words(F.col("text")), lambda x: x.rlike("^[A-Za-z][A-Za-z_-]{2,}$")).alias("w"))
     pair = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))
     p = w.filter(F.size("w") > 1).select(F.explode(pair).alias("p")).select("p.a", "p.b")
@@ -105,18 +107,19 @@ def llr(value: Column, table: Column) -> Column:
     return F.when(F.length(value) > 1, total / (F.length(value) - 1)).otherwise(F.lit(0.0))
 
 
-def find_secrets(docs: DataFrame, min_llr: float = 1.5, samples: DataFrame | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, min_llr: float = 1.5, bare_llr: float = 2.0, samples: DataFrame | None = None) -> DataFrame:
     """doc_id, text and ``base`` and ``found``: arrays of (start, kind, end, value), sorted by start and kind."""
     table = F.split(F.lit(",".join(map(str, train(labelled_samples(docs) if samples is None else samples)))), ",").cast("array<double>")
     d = docs.select("doc_id", "text", F.coalesce("text", F.lit("")).alias("s_text"))
     d = _find(d, "s_assign", ASSIGN, 0, lambda v: F.length(F.regexp_extract(v, ASSIGN, 1)) >= 12)
     d = _find(d, "s_access", ACCESS, 1, lambda v: F.lit(True))
     d = _find(d, "s_hex", HEX, 2, lambda v: F.lit(True))
-    d = _find(d, "s_markov", CANDIDATE, 3, lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
+    d = _find(d, "s_markov", CANDIDATE, 3, lambda v: v.rlike("[A-Za-z]") & (v.rlike("[0-9]") | (v.rlike("[a-z]") & v.rlike("[A-Z]"))))
     d = d.withColumn("base", F.sort_array(F.concat("s_assign", "s_access", "s_hex")))
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    d = d.withColumn("s_free", F.filter("s_markov", free))
-    more = F.filter("s_free", lambda x: llr(x["value"], table) >= min_llr)
+    within = lambda x: F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
+    d = d.withColumn("s_free", F.filter("s_markov", lambda x: ~within(x)))
+    least = lambda v: F.when(v.rlike("[0-9]"), F.lit(min_llr)).otherwise(F.lit(bare_llr))
+    more = F.filter("s_free", lambda x: llr(x["value"], table) >= least(x["value"]))
     return d.withColumn("found", F.sort_array(F.concat("base", more))).select("doc_id", "text", "base", "found")
 
 
