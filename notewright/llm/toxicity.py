@@ -5,10 +5,11 @@ the highest log-odds of toxic documents; how often lexicon words stand within th
 pronoun; rates of capitals, of exclamation and other punctuation, of symbols, and of obfuscated words (a letter-like
 sign within a word), with lexicon hits that show only once such signs are read as letters. The trees (histogram splits, logistic
 loss) are fitted on the driver on the features of at most ``max_rows`` labelled rows, taken by hash of the doc_id; the calibration on
-predictions of folds that a tree has not seen. Rows whose crc32(doc_id as text) mod 5 is 0 are never learned from.
+predictions of folds whose labels neither the trees nor the lexicon have seen. Rows whose crc32(doc_id as text) mod 5 is 0 are never learned from.
 
 A null or empty text has all rates 0 and is scored as such. A null doc_id is not held out and has no label. Repeated rows are scored each;
 a doc_id with several labels counts with each. Without labels of both kinds every score is the share of toxic rows (0 without any).
+doc_ids pass through Arrow unchanged, whatever their size and beside nulls. Empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,38 +57,58 @@ def dense(text: str | None, lexicon: dict[str, float], stems: dict[str, float],
     ]
 
 
-def featured(docs: DataFrame, lexicon: dict[str, float], stems: dict[str, float], keep: list[str]) -> DataFrame:
-    """``keep`` and the features as an array column ``x``."""
-    lengths = tuple(sorted({len(s) for s in stems}))
-    schema = ", ".join(f"{c} {t}" for c, t in docs.select(*keep).dtypes) + ", x array<double>"
+Lexicon = tuple[dict[str, float], dict[str, float]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[keep].assign(x=[dense(t, lexicon, stems, lengths) for t in pdf["text"].tolist()])
 
-    return docs.select(*keep, "text").mapInPandas(run, schema)
+def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
+    """Rows of dense features, one for each text."""
+    lengths = tuple(sorted({len(s) for s in lexicon[1]}))
+    return np.array([dense(t, *lexicon, lengths) for t in texts], dtype=float).reshape(len(texts), len(NAMES))
 
 
-def learn_lexicon(train: DataFrame, size: int = 150, stem_lengths: tuple[int, ...] = (5, 6, 7), min_docs: int = 4, min_odds: float = 2.0) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and word beginnings with the highest log-odds of toxic documents, at most ``size`` of each; weights are the log-odds."""
+def featured(rows: DataFrame, lexicons: list[Lexicon], keep: list[str]) -> DataFrame:
+    """``keep`` and the features under each lexicon as one array column ``x``."""
+    schema = ", ".join(f"{c} {t}" for c, t in rows.select(*keep).dtypes) + ", x array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            x = np.concatenate([features(texts, lex) for lex in lexicons], axis=1)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(list(x), pa.list_(pa.float64()))], [*keep, "x"])
+
+    return rows.select(*keep, "text").mapInArrow(run, schema)
+
+
+def learn_lexicons(train: DataFrame, folds: int, size: int = 150, stem_lengths: tuple[int, ...] = (5, 6, 7), min_docs: int = 4, min_odds: float = 2.0) -> list[Lexicon]:
+    """Words and word beginnings with the highest log-odds of toxic documents, at most ``size`` of each, with the log-odds as weights.
+
+    First those of all rows of ``train``, then for each fold those of the rows of other folds; one pass counts for all.
+    """
     strip = lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}]+|[^\p{L}]+$", "")
-    d = train.select("toxic", F.array_distinct(F.transform(words(F.col("text")), strip)).alias("w"))
-    totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = totals.get(1, 0), totals.get(0, 0)
+    d = train.select("toxic", "fold", F.array_distinct(F.transform(words(F.col("text")), strip)).alias("w"))
+    kinds = range(-1, folds)
+    counts = [F.sum(F.when(F.col("fold") != k, c).otherwise(0)).alias(f"{n}{k + 1}") for k in kinds for n, c in (("p", F.col("toxic")), ("n", F.lit(1)))]
+    totals = train.agg(*counts).collect()[0]
 
     def beginnings(k: int):
         return F.transform(F.filter("w", lambda w: F.length(w) > k), lambda w: F.concat(F.lit(f"{k}:"), F.substring(w, 1, k)))
 
     stemmed = [beginnings(k) for k in stem_lengths]
     terms = F.array_distinct(F.concat(F.transform("w", lambda w: F.concat(F.lit("0:"), w)), *stemmed))
-    c = d.select("toxic", F.explode(terms).alias("t")).groupBy("t").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).filter(F.col("p") >= min_docs)
-    odds = F.log((F.col("p") + 0.5) / (pos - F.col("p") + 0.5)) - F.log((F.col("n") - F.col("p") + 0.5) / (neg - F.col("n") + F.col("p") + 0.5))
-    c = c.withColumn("odds", odds).filter(F.col("odds") >= min_odds)
-    out: list[dict[str, float]] = []
-    for kind in (F.col("t").startswith("0:") & (F.length("t") > 4), ~F.col("t").startswith("0:")):
-        top = c.filter(kind).orderBy(F.desc(F.col("odds") * F.log1p("p")), "t").limit(size).collect()
-        out.append({r["t"][2:]: round(r["odds"], 6) for r in top})
-    return out[0], out[1]
+    c = store(d.select("toxic", "fold", F.explode(terms).alias("t")).groupBy("t").agg(*counts).filter(F.col("p0") >= min_docs), "toxic-terms")
+    out = []
+    for k in kinds:
+        p, n = F.col(f"p{k + 1}"), F.col(f"n{k + 1}")
+        pos = totals[f"p{k + 1}"] or 0
+        neg = (totals[f"n{k + 1}"] or 0) - pos
+        odds = F.log((p + 0.5) / (pos - p + 0.5)) - F.log((n - p + 0.5) / (neg - n + p + 0.5))
+        each = c.filter(p >= min_docs).withColumn("odds", odds).filter(F.col("odds") >= min_odds)
+        found = []
+        for kind in (F.col("t").startswith("0:") & (F.length("t") > 4), ~F.col("t").startswith("0:")):
+            top = each.filter(kind).orderBy(F.desc(F.col("odds") * F.log1p(p)), "t").limit(size).collect()
+            found.append({r["t"][2:]: round(r["odds"], 6) for r in top})
+        out.append((found[0], found[1]))
+    return out
 
 
 class Trees:
@@ -159,18 +180,18 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Lexicon, trees and calibration of one training run."""
+    """Trees and calibration of one training run: ``x`` under the lexicon of all rows, ``unseen[k]`` under that of the rows outside fold k."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, folds: int = 3):
+    def __init__(self, x: np.ndarray, unseen: list[np.ndarray], y: np.ndarray, fold: np.ndarray):
         self.share = float(y.mean()) if len(y) else 0.0
         self.trees = None
         if len(np.unique(y)) < 2:
             return
-        part = np.arange(len(y)) % folds
         out = np.zeros(len(y))
-        for k in range(folds):
-            rest = part != k
-            out[~rest] = Trees().fit(x[rest], y[rest]).predict(x[~rest]) if len(np.unique(y[rest])) == 2 else self.share
+        for k, z in enumerate(unseen):
+            rest = fold != k
+            if (~rest).any():
+                out[~rest] = Trees().fit(z[rest], y[rest]).predict(z[~rest]) if len(np.unique(y[rest])) == 2 else self.share
         self.knots = isotonic(out, y)
         self.trees = Trees().fit(x, y)
 
@@ -186,26 +207,25 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000):
-    """(model, lexicon, stems) from at most ``max_rows`` labelled rows that aren't held out."""
-    ids = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out())
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, folds: int = 3) -> tuple[Model, Lexicon]:
+    """(model, lexicon) from at most ``max_rows`` labelled rows that aren't held out."""
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out())
     ids = store(ids.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows), "toxic-ids")
-    rows = store(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "toxic-train")
-    lexicon, stems = learn_lexicon(rows)
-    got = featured(rows, lexicon, stems, ["doc_id", "toxic"]).toPandas().sort_values(["doc_id", "toxic"])
-    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(NAMES))
-    return Model(x, got["toxic"].to_numpy(dtype=float)), lexicon, stems
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).cast("int").alias("fold")
+    rows = store(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", fold, "text"), "toxic-train")
+    lexicons = learn_lexicons(rows, folds)
+    got = featured(rows, lexicons, ["doc_id", "toxic", "fold"]).toPandas().sort_values(["doc_id", "toxic"])
+    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), folds + 1, len(NAMES))
+    return Model(x[:, 0], [x[:, k + 1] for k in range(folds)], got["toxic"].to_numpy(dtype=float), got["fold"].to_numpy(dtype=int)), lexicons[0]
 
 
 def score(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    model, lexicon, stems = train(docs, labels, **kw)
-    lengths = tuple(sorted({len(s) for s in stems}))
+    model, lexicon = train(docs, labels, **kw)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array([dense(t, lexicon, stems, lengths) for t in pdf["text"].tolist()], dtype=float).reshape(len(pdf), len(NAMES))
-            s = model.score(x)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype("int32")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = model.score(features(b.column("text").to_pylist(), lexicon))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
