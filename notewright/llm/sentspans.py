@@ -4,15 +4,20 @@ A text is cut into sentences (up to a run of ``.``, ``!``, ``?`` or a newline, w
 at least w = ``chop`` // 2 words is cut further by content, into pieces of at most w words that count as sentences: before each word
 whose three-word hash is the least of w neighbours (the last of equal ones). Whatever comes before or after a shared passage,
 its cuts are the same but for w words at its start and w + 2 at its end, so with the defaults every passage
-of 50 words is found, wherever it starts and ends in a sentence. From every piece the shortest run of at least two pieces and
-``min_words`` words is hashed, and so is the shortest such run that ends with every piece, so that a
-shared passage is covered from its first common cut to its last. Runs compare by words in lower case. Those
-that another may equal (a filter of at most 2^``most_bits`` bits tells; what it can't tell apart costs disk, not results)
-are joined over all documents; a piece goes when a run that covers it has an equal run earlier, by doc_id and place.
-
-A null text is an empty one; rows without a doc_id come after all others. Rows that repeat a doc_id with the same text are
-one document (twins are treated alike); with another text they are compared like any two documents. Empty tables
-give an empty result. Runs are told apart by 96 bits of a hash.
+of 50 words is found, wherever it starts and ends in a sentence.
+
+A piece goes when it is covered by a run of two or more consecutive pieces, of ``min_words`` words or more, that has an equal run (words
+in lower case) earlier, by doc_id and place; ``min_words=0`` takes every run. The hashes of all such runs aren't needed for that, only of
+the shortest ones: from every piece the shortest run that qualifies, and up to every piece the shortest. Proof: let R be a run that
+qualifies and has an equal run earlier, q its last piece, and s the last piece from which the shortest run ends in R (there is one: the shortest
+run from R's first piece ends in R). A piece of R up to s lies in the shortest run from itself, which ends no later than that from s; a piece
+behind s lies in the shortest run up to q, which is that from s to q. Both lie in R, so each has an equal run earlier.
+As the shortest runs are runs themselves, nothing else goes. Runs are stored if another may equal them (a filter of at most
+2^``most_bits`` bits tells; what it can't tell apart costs disk, not results) and joined over all documents.
+
+A null text is an empty one; rows without a doc_id come after all others, told apart by 128 bits of a hash of their text. Rows that repeat a
+doc_id with the same text are one document (twins are treated alike); with another text they are compared like any two documents. Ids of
+any size pass unchanged. Empty tables give an empty result; other columns are ignored. Runs are told apart by 96 bits of a hash.
 """
 
 from __future__ import annotations
@@ -21,13 +26,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import store
+from .common import broadcast_if_small, store
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n][.!?\s]*|[^.!?\n]+")
 WORD = re.compile(r"\S+")
@@ -125,35 +130,36 @@ def runs(counts: list[int], min_words: int) -> set[tuple[int, int]]:
     return out
 
 
-def _hashed(batches: Iterator[pd.DataFrame], min_words: int, chop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """did, place and the two halves of the hash of every run, for 512 texts at a time."""
-    for pdf in batches:
-        for lo in range(0, len(pdf), 512):
-            part = pdf.iloc[lo : lo + 512]
-            ids, places, digests = [], [], []
-            for did, crc, text in zip(part["did"].tolist(), part["crc"].tolist(), part["text"].tolist(), strict=True):
+def _hashed(batches: Iterator[pa.RecordBatch], min_words: int, chop: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """A slice of 512 rows at most, and of its runs the row's number, the place and the two halves of the hash."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 512):
+            part = whole.slice(lo, 512)
+            rows, places, digests = [], [], []
+            for i, text in enumerate(part.column("text").to_pylist()):
                 _, keys, counts = sentences(text, chop, False)
                 for a, b in runs(counts, min_words):
-                    ids.append(did)
-                    places.append(crc << 40 | a << 12 | min(b - a, 4095))
+                    rows.append(i)
+                    places.append(a << 24 | b - a)
                     digests.append(xxhash.xxh3_128_digest(" ".join(keys[a : b + 1]).encode("utf-8", "replace")))
-            yield np.array(ids, dtype=np.int64), np.array(places, dtype=np.int64), np.frombuffer(b"".join(digests), dtype=">i8").reshape(-1, 2).astype(np.int64)
+            yield part, np.array(rows, dtype=np.int64), np.array(places, dtype=np.int64), np.frombuffer(b"".join(digests), dtype=">i8").reshape(-1, 2).astype(np.int64)
 
 
 def _taken(min_words: int, chop: int, bits: int):
     """The task's slots of the filter, once and more often taken."""
     low = min(16, bits)
 
-    def rows(held: list[np.ndarray]) -> pd.DataFrame:
+    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
         slots, counts = np.unique(np.concatenate(held), return_counts=True)
         chunk, offset = slots >> low, (slots & (2**low - 1)).astype(np.uint16)
         edges = np.append(np.flatnonzero(np.diff(chunk, prepend=-1)), len(chunk))
-        parts = [(int(chunk[x]), offset[x:y].tobytes(), offset[x:y][counts[x:y] > 1].tobytes()) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-        return pd.DataFrame(parts, columns=["chunk", "ones", "twos"])
+        pairs = list(zip(edges[:-1], edges[1:], strict=True))
+        ones, twos = [offset[x:y].tobytes() for x, y in pairs], [offset[x:y][counts[x:y] > 1].tobytes() for x, y in pairs]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[edges[:-1]], pa.int64()), pa.array(ones, pa.binary()), pa.array(twos, pa.binary())], ["chunk", "ones", "twos"])
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for _, _, h in _hashed(batches, min_words, chop):
+        for _, _, _, h in _hashed(batches, min_words, chop):
             held.append(jaccard._slots(h[:, 0].copy(), bits))
             n += len(h)
             if n > 2_000_000:
@@ -168,27 +174,28 @@ def _taken(min_words: int, chop: int, bits: int):
 def _spans(min_words: int, chop: int, shared, bits: int):
     """The runs that another may equal."""
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, places, h in _hashed(batches, min_words, chop):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows, places, h in _hashed(batches, min_words, chop):
             keep = jaccard.shared_tokens(h[:, 0].copy(), shared.value, bits)
-            yield pd.DataFrame({"did": ids[keep], "place": places[keep], "h1": h[keep, 0], "h2": (h[keep, 1] >> 32).astype(np.int32)})
+            at = pa.array(rows[keep])
+            columns = [part.column("did").take(at), part.column("tk").take(at), pa.array(places[keep]), pa.array(h[keep, 0]), pa.array((h[keep, 1] >> 32).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["did", "tk", "place", "h1", "h2"])
 
     return emit
 
 
 def _clean(chop: int):
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
             texts, totals, gone, spans = [], [], [], []
-            for text, places in zip(pdf["text"].tolist(), pdf["places"].tolist(), strict=True):
+            for text, places in zip(part.column("text").to_pylist(), part.column("places").to_pylist(), strict=True):
                 ends, _, counts = sentences(text or "", chop, places is not None)
                 total = sum(1 for n in counts if n)
                 if places is None:
                     ends = [len(text)] if text else []
                 drop = np.zeros(len(ends), dtype=bool)
                 for p in places if places is not None else []:
-                    first = p >> 12 & 0xFFFFFFF
-                    drop[first : first + (p & 4095) + 1] = True
+                    drop[p >> 24 : (p >> 24) + (p & 0xFFFFFF) + 1] = True
                 out, said, at, n = [], [], 0, 0
                 for i, end in enumerate(ends):
                     if drop[i]:
@@ -204,28 +211,35 @@ def _clean(chop: int):
                 totals.append(total)
                 gone.append(n)
                 spans.append(",".join(f"{a}:{b}" for a, b in said))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts, "n_sentences": totals, "n_removed": gone, "removed": spans})
+            columns = [part.column("doc_id"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_sentences", "n_removed", "removed"])
 
     return apply
 
 
 def dedup_spans(docs: DataFrame, min_words: int = 25, chop: int = 25, most_bits: int = 28) -> DataFrame:
     """doc_id, text without the pieces of non-first runs, n_sentences and n_removed (pieces with words), removed (``start:end`` in code points, joined by commas)."""
-    crc = F.crc32(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0x7FFFFF))
-    d = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("did"), crc.alias("crc"))
-    texts = d.select("did", "crc", "text").filter("text is not null")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # tk tells rows apart that have no doc_id of their own: none at all, or one that rows with other texts have too
+    several = d.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.md5("text")).alias("x"), F.max(F.md5("text")).alias("y"))
+    several = store(several.filter("n > 1 and not (x <=> y)").select(F.col("doc_id").alias("s_id")), "spans-several")
+    d = d.join(broadcast_if_small(several, 1_000_000), F.col("doc_id") == F.col("s_id"), "left")
+    d = d.withColumn("tk", F.when(F.col("doc_id").isNull() | F.col("s_id").isNotNull(), F.md5(F.coalesce("text", F.lit("")))))
+    d = d.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("did"), "tk")
+    texts = d.select("did", "tk", "text").filter("text is not null")
     chars = docs.agg(F.sum(F.length("text"))).collect()[0][0] or 0
     bits = max(10, min(most_bits, (chars // 3).bit_length()))
     low = min(16, bits)
     slots = np.zeros((2 ** (bits - low), 2**low // 8), dtype=np.uint8)
-    taken = texts.mapInPandas(_taken(min_words, chop, bits), "chunk long, ones binary, twos binary")
+    taken = texts.mapInArrow(_taken(min_words, chop, bits), "chunk long, ones binary, twos binary")
     for r in taken.groupBy("chunk").applyInPandas(jaccard._shared_slots(low), "chunk long, bits binary").toLocalIterator():
         slots[r["chunk"]] = np.frombuffer(r["bits"], dtype=np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(slots.reshape(-1))
-    spans = store(texts.mapInPandas(_spans(min_words, chop, shared, bits), "did long, place long, h1 long, h2 int"), "spans-runs")
-    first = spans.groupBy("h1", "h2").agg(F.min(F.struct("did", "place")).alias("first"), F.max(F.struct("did", "place")).alias("last"))
-    first = first.filter("first < last").select("h1", "h2", "first")
-    later = spans.join(first, ["h1", "h2"]).filter(F.struct("did", "place") > F.col("first")).select("did", "place")
-    flags = later.groupBy(F.col("did").alias("f_did"), F.shiftright("place", 40).alias("f_crc")).agg(F.collect_set("place").alias("places"))
-    d = d.join(flags, (F.col("did") == F.col("f_did")) & (F.col("crc") == F.col("f_crc")), "left")
-    return d.select("doc_id", "text", "places").mapInPandas(_clean(chop), "doc_id long, text string, n_sentences long, n_removed long, removed string")
+    spans = store(texts.mapInArrow(_spans(min_words, chop, shared, bits), "did long, tk string, place long, h1 long, h2 int"), "spans-runs")
+    at = F.struct("did", "tk", "place")
+    first = spans.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    first = store(first.filter("first < last").select("h1", "h2", "first"), "spans-first")
+    later = spans.join(first, ["h1", "h2"]).filter(at > F.col("first")).select("did", "tk", "place")
+    flags = later.groupBy(F.col("did").alias("f_did"), F.col("tk").alias("f_tk")).agg(F.collect_set("place").alias("places"))
+    d = d.join(flags, (F.col("did") == F.col("f_did")) & F.col("tk").eqNullSafe(F.col("f_tk")), "left")
+    return d.select("doc_id", "text", "places").mapInArrow(_clean(chop), "doc_id long, text string, n_sentences long, n_removed long, removed string")
