@@ -3,12 +3,13 @@
 A line's quote level is the number of ``>`` marks that open it. The lines of level 0, without attribution
 lines ("On ... wrote:"), are a message's own text. Quoted passages (runs of lines of one level) and their
 lines, and the own texts and their lines, are normalised (marks and outer white space off, lower case, inner
-white space single) and hashed. A message replies to the earlier message of its conversation whose own text
-shares the most hashed characters with what it quotes at level 1, else at the next level; the later one on
+white space single) and hashed. Each quoted passage or line points to the latest earlier message of the conversation that has it as its
+own. A message replies to the one that most of the characters it quotes at level 1 point to, else at the next level; the later one on
 ties. A thread's root is found by pointer doubling. A conversation is its threads by root, each in turn
 order, so that every message comes after the one it answers.
 
-One row per message comes back; nothing collects a conversation. Nulls: a null text is an empty one; rows with
+One row per message comes back; nothing collects a conversation, and no line that many messages hold or quote is paired with all of
+them. Positions come from a sort over the whole table, so long conversations and threads are spread over many tasks. Nulls: a null text is an empty one; rows with
 a null conv_id or turn take no part in links (a null turn comes last). Repeated rows keep a row each and one
 link; distinct rows of the same turn are separate messages, and a link to their turn takes the smallest thread.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import discard, store
 
 MARKS = r"^[\x20\x09]*(?:>[\x20\x09]?)+"
 ATTRIBUTION = r"(?i)^[\x20\x09]*(on\b.*\bwrote|le\b.*\bécrit|am\b.*\bschrieb.*|el\b.*\bescribió)[\x20\x09]*:[\x20\x09]*$"
@@ -45,7 +46,27 @@ def parse_quotes(messages: DataFrame) -> DataFrame:
     return d.withColumn("quoted", quoted).drop("q_lines")
 
 
-def _links(msgs: DataFrame) -> DataFrame:
+def _latest_holder(q: DataFrame, o: DataFrame, step: int) -> DataFrame:
+    """q (conv_id, q_turn, level, h, m) with o_turn and n of the latest message before q_turn that holds the unit, where there is one.
+
+    Turns are cut into spans of ``step``: the latest holder is in the quoter's own span, else in the last span before it that has
+    one, so that no unit is ranked in one task.
+    """
+    unit = ["conv_id", "h", "m"]
+    span = lambda c: F.floor(F.col(c) / step)
+    both = q.select(*unit, "level", F.col("q_turn").alias("turn"), F.lit(True).alias("asks"), F.lit(None).cast("int").alias("n"))
+    both = both.unionByName(o.select(*unit, F.lit(None).cast("int").alias("level"), F.col("o_turn").alias("turn"), F.lit(False).alias("asks"), "n")).withColumn("span", span("turn"))
+    own = Window.partitionBy(*unit, "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    held = F.when(~F.col("asks"), F.struct(F.col("turn"), F.col("n")))
+    near = both.withColumn("near", F.max(held).over(own)).filter("asks").drop("asks", "n")
+    spans = both.groupBy(*unit, "span").agg(F.max(held).alias("top"))
+    before = F.last("top", ignorenulls=True).over(Window.partitionBy(*unit).orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select(*unit, "span", before.alias("far"))
+    found = near.join(spans, [*unit, "span"]).withColumn("hit", F.coalesce("near", "far")).filter("hit is not null")
+    return found.select("conv_id", F.col("turn").alias("q_turn"), "level", F.col("hit.turn").alias("o_turn"), F.col("hit.n").alias("n"))
+
+
+def _links(msgs: DataFrame, step: int) -> DataFrame:
     """conv_id, turn, parent: for the messages whose quotes are found in an earlier one."""
     quoting = msgs.filter((F.size("quoted") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", "quoted")
     convs = quoting.select("conv_id").distinct()
@@ -57,7 +78,7 @@ def _links(msgs: DataFrame) -> DataFrame:
     o = msgs.filter(F.col("turn").isNotNull()).join(convs, "conv_id", "left_semi")
     o = o.select("conv_id", F.col("turn").alias("o_turn"), F.explode(F.array_distinct(F.concat(F.array(F.array_join("own_lines", " ")), "own_lines"))).alias("unit")).filter("unit <> ''")
     o = o.select("conv_id", "o_turn", F.xxhash64("unit").alias("h"), F.md5("unit").alias("m"), F.length("unit").alias("n")).distinct()
-    hit = q.distinct().join(o, ["conv_id", "h", "m"]).filter("o_turn < q_turn").groupBy("conv_id", "q_turn", "level", "o_turn").agg(F.sum("n").alias("n"))
+    hit = _latest_holder(q.distinct(), o, step).groupBy("conv_id", "q_turn", "level", "o_turn").agg(F.sum("n").alias("n"))
     best = F.max(F.struct(-F.col("level"), F.col("n"), F.col("o_turn"))).alias("b")
     return hit.groupBy("conv_id", "q_turn").agg(best).select("conv_id", F.col("q_turn").alias("turn"), F.col("b.o_turn").alias("parent"))
 
@@ -68,29 +89,31 @@ def _roots(links: DataFrame) -> DataFrame:
     while True:
         up = at.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"))
         nxt = at.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", "parent", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("up").isNotNull().alias("moved"))
-        nxt = store(nxt, "chat-roots")
-        at = nxt.drop("moved")
-        if nxt.filter("moved").limit(1).count() == 0:
-            return at
+        was, at = at, store(nxt, "chat-roots")
+        discard(was)
+        if at.filter("moved").limit(1).count() == 0:
+            return at.drop("moved")
 
 
 def link_quotations(messages: DataFrame, step: int = 1000) -> DataFrame:
     """One row per message in reply order.
 
     conv_id, position (from 1), turn, role, text (own words, quotes off), parent_turn, thread_turn, depth,
-    n_quoted_lines. ``step``: turns of roots per bucket of the two-level ranking, which spares one task from
-    ranking a large conversation alone.
+    n_quoted_lines. ``step``: turns in a span of the search for quoted messages.
     """
     d = parse_quotes(messages.select("conv_id", "turn", "role", "text"))
-    found = _roots(_links(d)).withColumnsRenamed({"conv_id": "r_conv", "turn": "r_turn"})
+    found = _roots(_links(d, step)).withColumnsRenamed({"conv_id": "r_conv", "turn": "r_turn"})
     d = d.select("conv_id", "turn", "role", "own", F.size("quoted").alias("n_quoted_lines"))
     d = d.join(found, (F.col("conv_id") == F.col("r_conv")) & (F.col("turn") == F.col("r_turn")), "left")
     d = d.withColumn("thread_turn", F.coalesce("root", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)))
-    d = d.withColumn("bucket", F.floor(F.col("thread_turn") / step)).select("conv_id", "turn", "role", "own", "parent", "thread_turn", "depth", "n_quoted_lines", "bucket")
-    sizes = d.groupBy("conv_id", "bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy(F.col("bucket").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select(F.col("conv_id").alias("s_conv"), F.col("bucket").alias("s_bucket"), F.coalesce(before, F.lit(0)).alias("offset"))
+    d = d.select("conv_id", "turn", "role", "own", "parent", "thread_turn", "depth", "n_quoted_lines")
     order = [F.col(c).asc_nulls_last() for c in ("thread_turn", "turn", "role", "own", "n_quoted_lines")]
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy("conv_id", "bucket").orderBy(*order)))
-    d = d.join(sizes, F.col("conv_id").eqNullSafe(F.col("s_conv")) & F.col("bucket").eqNullSafe(F.col("s_bucket")))
+    tasks = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartitionByRange(tasks, F.col("conv_id"), *order).withColumn("part", F.spark_partition_id())
+    d = store(d, "chat-sorted")  # read twice, and the sort's bounds are drawn anew for each run
+    sizes = d.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("conv_id").alias("s_conv"), F.col("part").alias("s_part"), F.coalesce(before, F.lit(0)).alias("offset"))
+    d = d.withColumn("r", F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(*order)))
+    d = d.join(sizes, F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("part") == F.col("s_part")))
     return d.select("conv_id", (F.col("r") + F.col("offset")).alias("position"), "turn", "role", F.col("own").alias("text"), F.col("parent").alias("parent_turn"), "thread_turn", "depth", "n_quoted_lines")
