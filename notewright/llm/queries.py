@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, langid, mixing, quality, secrets, sentspans, spiece, toxicity
+from . import ann, chat, jaccard, langid, mixing, oracles, quality, secrets, sentspans, spiece, toxicity
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def op2_divergence_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
-    return jaccard.components(_read(spark, d, "documents"), k=3, percent=90).drop("key")
+    return jaccard.components(_read(spark, d, "documents"), k=3, percent=90).drop("tkey")
 
 
 def op4_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +54,19 @@ def op10_quotation_linking(spark: SparkSession, d: str) -> DataFrame:
     return chat.link_quotations(_read(spark, d, "conversations"))
 
 
+# What SQL can check of operators whose whole result it can't express.
+
+
+def mix_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and targets of op6's plan; which words are taken is a seeded choice."""
+    return op6_mix_sources(spark, d).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def secret_base_spans(spark: SparkSession, d: str) -> DataFrame:
+    """op7's pattern spans; those of the models are learned."""
+    return op7_secret_scan(spark, d).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_learned_partitions": op1_learned_partitions,
     "op2_divergence_quality": op2_divergence_quality,
@@ -64,6 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_quotation_linking": op10_quotation_linking,
+    "mix_targets": mix_targets,
+    "secret_base_spans": secret_base_spans,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_divergence_quality": oracles.quality_sql(),
+    "op3_jaccard_join": oracles.jaccard_sql(3, 90),
+    "mix_targets": oracles.targets_sql(),
+    "secret_base_spans": oracles.secrets_sql(),
+}
