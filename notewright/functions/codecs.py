@@ -27,6 +27,12 @@ def q8_0(a: Column) -> Column:
     return _each(a, lambda x: let(F.array_max(F.transform(x, F.abs)) / 127.0, lambda d: F.struct(d.alias("d"), F.transform(x, lambda v: F.when(d > 0, F.floor(v / d + 0.5)).otherwise(0).cast("int")).alias("qs"))))
 
 
+def q8_1(a: Column) -> Column:
+    """As q8_0, with s = d times the sum of q, which spares products with an affine block that sum."""
+    total = lambda qs: F.aggregate(qs, F.lit(0), lambda t, q: t + q)
+    return F.transform(q8_0(a), lambda b: F.struct(b["d"].alias("d"), (b["d"] * total(b["qs"])).alias("s"), b["qs"].alias("qs")))
+
+
 def _signed_max(x: Column) -> Column:
     """The value with the largest magnitude, the first on ties."""
     return F.element_at(F.array_sort(F.transform(x, lambda v, i: F.struct((-F.abs(v)).alias("k"), i.alias("i"), v.alias("v")))), 1)["v"]
@@ -61,7 +67,7 @@ def q5_1(a: Column) -> Column:
 
 
 def decode(b: Column, kind: str) -> Column:
-    zero = {"q8_0": 0, "q4_0": 8, "q5_0": 16}
+    zero = {"q8_0": 0, "q8_1": 0, "q4_0": 8, "q5_0": 16}
     if kind in zero:
         return F.flatten(F.transform(b, lambda x: F.transform(x["qs"], lambda q: (q - zero[kind]) * x["d"])))
     return F.flatten(F.transform(b, lambda x: F.transform(x["qs"], lambda q: q * x["d"] + x["m"])))

@@ -6,10 +6,11 @@ Accumulation is in double. Everything here is a Column or DataFrame expression b
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -46,6 +47,15 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+#: Rows up to which a kernel or table of offsets is broadcast.
+SMALL = 100_000
+
+
+def small(d: DataFrame, rows: int = SMALL) -> DataFrame:
+    """Broadcasts ``d`` if it has at most ``rows`` rows; the count stops one row beyond that."""
+    return F.broadcast(d) if d.limit(rows + 1).count() <= rows else d
+
+
 def double(a: Column) -> Column:
     return a.cast("array<double>")
 
@@ -122,10 +132,10 @@ def group_norm(a: Column, groups: int, eps: float = 1e-5) -> Column:
 
 
 def soft_max(a: Column, s: float = 1.0, mask: Column | None = None, slope: float = 1.0) -> Column:
-    """softmax(s * a + slope * mask); null mask values take no part and come out as 0."""
+    """softmax(s * a + slope * mask); null mask values take no part and come out as 0 (all null if none takes part)."""
     x = F.transform(a, lambda v: v * s) if mask is None else F.zip_with(a, mask, lambda v, m: v * s + slope * m)
     e = let(x, lambda y: let(F.array_max(y), lambda top: F.transform(y, lambda v: F.coalesce(F.exp(v - top), F.lit(0.0)))))
-    return let(e, lambda y: let(sum_rows(y), lambda t: F.transform(y, lambda v: v / t)))
+    return let(e, lambda y: let(sum_rows(y), lambda t: F.transform(y, lambda v: F.try_divide(v, t))))
 
 
 def soft_max_back(grad: Column, y: Column, s: float = 1.0) -> Column:
@@ -305,9 +315,21 @@ def mul_mat(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def gram(d: DataFrame, a: str, dim: int) -> DataFrame:
-    """(i, j, v) of the dim x dim matrix of products of columns: each row adds its own products, so rows don't meet."""
-    p = F.flatten(F.transform(a, lambda x: F.transform(a, lambda y: x * y)))
-    return d.select(F.posexplode(p).alias("x_k", "x_v")).groupBy("x_k").agg(F.sum("x_v").alias("v")).select(F.floor(F.col("x_k") / dim).cast("int").alias("i"), (F.col("x_k") % dim).alias("j"), "v")
+    """(i, j, v) of the dim x dim matrix of products of columns: each task multiplies its rows as one matrix, and the tasks' sums are added.
+
+    A null row, or one of another length, takes no part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((dim, dim))
+        for b in batches:
+            x = np.asarray(b.column(0).flatten(), dtype=np.float64).reshape(-1, dim)
+            total += x.T @ x
+        i, j = np.divmod(np.arange(dim * dim, dtype=np.int32), np.int32(dim))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.reshape(-1))], ["i", "j", "v"])
+
+    whole = d.filter((F.size(a) == dim) & ~F.exists(a, lambda x: x.isNull())).select(F.col(a).cast("array<double>").alias(a))
+    return whole.mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def mul_mat_id(experts: DataFrame, b: DataFrame, ids: DataFrame) -> DataFrame:
@@ -337,9 +359,9 @@ def pool_2d(m: DataFrame, k0: int, k1: int, s0: int, s1: int, kind: str = "avg",
 
 def conv_2d_dw(m: DataFrame, kernel: DataFrame) -> DataFrame:
     """Valid depth-wise convolution, stride 1: m (c, i, j, v), kernel (c, di, dj, w)."""
-    x = m.join(F.broadcast(kernel), "c").select("c", (F.col("i") - F.col("di")).alias("i"), (F.col("j") - F.col("dj")).alias("j"), (F.col("v") * F.col("w")).alias("v"))
+    x = m.join(small(kernel), "c").select("c", (F.col("i") - F.col("di")).alias("i"), (F.col("j") - F.col("dj")).alias("j"), (F.col("v") * F.col("w")).alias("v"))
     n = kernel.groupBy("c").agg(F.count("*").alias("x_k"))
-    g = x.groupBy("c", "i", "j").agg(F.sum("v").alias("v"), F.count("*").alias("x_n")).join(F.broadcast(n), "c")
+    g = x.groupBy("c", "i", "j").agg(F.sum("v").alias("v"), F.count("*").alias("x_n")).join(small(n), "c")
     return g.filter("x_n = x_k").select("c", "i", "j", "v")
 
 

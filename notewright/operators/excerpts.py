@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Entities up to which their note counts are broadcast.
+MOST_BROADCAST = 500_000
+
+
 @dataclass(frozen=True)
 class ExcerptSpec:
     """Parameters of one extraction program."""
@@ -45,8 +49,13 @@ def normalize_newlines(text: Column) -> Column:
 
 
 def note_counts(notes: DataFrame) -> DataFrame:
-    """Adds n_notes: all notes of the entity, counted before any filter."""
-    return notes.withColumn("n_notes", F.count("*").over(Window.partitionBy("entity")))
+    """Adds n_notes: all notes of the entity, counted before any filter.
+
+    The count reads the entity column alone; texts stay where they are when the counts are few enough to broadcast.
+    """
+    n = notes.groupBy(F.col("entity").alias("x_entity")).agg(F.count("*").alias("n_notes"))
+    n = F.broadcast(n) if n.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else n
+    return notes.join(n, F.col("entity").eqNullSafe(F.col("x_entity"))).drop("x_entity")
 
 
 def match_spans(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -109,7 +118,8 @@ def merge_blocks(d: DataFrame, spec: ExcerptSpec) -> DataFrame:
 
 def blocks(notes: DataFrame, spec: ExcerptSpec) -> DataFrame:
     """(entity, row_no, day, block_no, start, end, excerpt): one row per merged block of a dated note."""
-    d = note_counts(notes.withColumn("text", normalize_newlines(F.col("text")))).filter("day is not null")
+    d = note_counts(notes) if spec.few_notes else notes.withColumn("n_notes", F.lit(1).cast("long"))
+    d = d.filter("day is not null").withColumn("text", normalize_newlines(F.col("text")))
     d = match_offsets(d, spec.pattern).withColumn("x_split", F.split("text", "\n", -1)).withColumn("n_lines", F.size("x_split"))
     d = merge_blocks(d, spec)
     d = d.select("entity", "row_no", "day", "x_split", F.posexplode_outer("blocks").alias("block_no", "b"))

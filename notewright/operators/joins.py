@@ -1,21 +1,63 @@
-"""Join helpers: positional zip, manifest status, longest common prefix, longest-match lookup."""
+"""Join helpers: places and running sums over ranges, neighbours in sorted order, positional zip, manifest status, common prefixes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 
-def with_ordinal(d: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
-    """Adds n: the row's place (from 1) by ``order``, ranked within ranges and shifted by the ranges' sizes.
 
-    Sorting is by range partitions, so no task ranks the whole table.
+def sorted_ranges(d: DataFrame, order: list, name: str) -> DataFrame:
+    """``d`` in ranges of ``order`` with x_p, the range's number, written once.
+
+    The bounds of ranges are drawn from a sample anew on each run, so everything that follows must read one table.
+    """
+    tasks = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return materialise(d.repartitionByRange(tasks, *order).withColumn("x_p", F.spark_partition_id()), name)
+
+
+def running(d: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums (their own row included) of every key in the order, none of them in one task.
+
+    Two levels: within a range of rows, and over the ranges' totals, of which a key has one a range.
+    """
+    ranges = sorted_ranges(d.withColumns({f"x_{n}": c for n, c in sums.items()}), [*by, *order], "running")
+    own = Window.partitionBy(*by, "x_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    total = ranges.groupBy(*by, "x_p").agg(*[F.sum(f"x_{n}").alias(f"x_t_{n}") for n in sums])
+    before = Window.partitionBy(*by).orderBy("x_p").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("x_p").rowsBetween(Window.unboundedPreceding, -1)
+    offset = total.select(*[F.col(c).alias(f"x_k{i}") for i, c in enumerate(by)], F.col("x_p").alias("x_q"), *[F.coalesce(F.sum(f"x_t_{n}").over(before), F.lit(0)).alias(f"x_o_{n}") for n in sums])
+    got = ranges.withColumns({f"x_{n}": F.sum(f"x_{n}").over(own) for n in sums})
+    same = F.col("x_p") == F.col("x_q")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"x_k{i}"))
+    return got.join(offset, same).select(*d.columns, *[(F.col(f"x_{n}") + F.col(f"x_o_{n}")).alias(n) for n in sums])
+
+
+def with_ordinal(d: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Adds n: the row's place (from 1) by ``order``, within its key if ``by`` is given."""
+    return running(d, by or [], order, {"n": F.lit(1).cast("long")})
+
+
+def with_neighbours(d: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Adds prev_ and next_ of ``columns``: those of the rows before and after in the order of the key, null at its ends.
+
+    Neighbours are looked up within ranges; only the first and last row of each range meet across them.
     """
-    keyed = d.repartitionByRange(buckets, *order).withColumn("x_p", F.spark_partition_id())
-    sizes = keyed.groupBy("x_p").agg(F.count("*").alias("x_n"))
-    base = sizes.select("x_p", F.coalesce(F.sum("x_n").over(Window.orderBy("x_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("x_b"))
-    ranked = keyed.withColumn("x_r", F.row_number().over(Window.partitionBy("x_p").orderBy(*order)))
-    return ranked.join(F.broadcast(base), "x_p").withColumn("n", F.col("x_r") + F.col("x_b")).drop("x_p", "x_r", "x_b")
+    ranges = sorted_ranges(d, [*by, *order], "neighbours")
+    w = Window.partitionBy("x_p").orderBy(*by, *order)
+    row = F.struct(*by, *columns)
+    got = ranges.withColumns({"x_prev": F.lag(row).over(w), "x_next": F.lead(row).over(w), "x_row": row})
+    ends = got.groupBy("x_p").agg(F.max(F.when(F.col("x_prev").isNull(), row)).alias("x_first"), F.max(F.when(F.col("x_next").isNull(), row)).alias("x_last"))
+    chain = Window.orderBy("x_p")  # a row for each range
+    ends = ends.select(F.col("x_p").alias("x_q"), F.lag("x_last").over(chain).alias("x_before"), F.lead("x_first").over(chain).alias("x_after"))
+    got = got.join(F.broadcast(ends), F.col("x_p") == F.col("x_q"))
+    got = got.withColumns({"x_prev": F.coalesce("x_prev", "x_before"), "x_next": F.coalesce("x_next", "x_after")})
+    same = {"x_prev": F.lit(True), "x_next": F.lit(True)}
+    for c in by:
+        same = {k: v & F.col(f"{k}.{c}").eqNullSafe(F.col(c)) for k, v in same.items()}
+    pick = [F.when(same[f"x_{k}"], F.col(f"x_{k}.{c}")).alias(f"{k}_{c}") for k in ("prev", "next") for c in columns]
+    return got.select(*d.columns, *pick)
 
 
 def zip_by_order(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:

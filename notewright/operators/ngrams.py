@@ -9,17 +9,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def counts(d: DataFrame, tokens: str, n_max: int = 4, n_min: int = 1) -> DataFrame:
-    """(n, ngram, next_token, cnt): n-grams as space-joined tokens; partial sums before the shuffle."""
+def grams(d: DataFrame, tokens: str, n_max: int = 4, n_min: int = 1, keep: list[str] | None = None) -> DataFrame:
+    """(keep, n, ngram, next_token): every n-gram of tokens, space-joined, with the token behind it.
+
+    A place of the text is one row with the next n_max tokens beside it; its n-grams are plain expressions on them.
+    """
     t = F.col(tokens)
+    shifted = F.arrays_zip(*[(t if k == 0 else F.slice(t, k + 1, F.greatest(F.size(t) - k, F.lit(0)))).alias(f"t{k}") for k in range(n_max + 1)])
+    places = d.filter(F.size(t) > n_min).select(*(keep or []), F.explode(shifted).alias("x"))
+    of = lambda n: F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[F.col(f"x.t{k}") for k in range(n)]).alias("ngram"), F.col(f"x.t{n}").alias("next_token"))
+    rows = places.select(*(keep or []), F.explode(F.array(*[of(n) for n in range(n_min, n_max + 1)])).alias("g"))
+    return rows.filter("g.next_token is not null").select(*(keep or []), "g.*")
 
-    def of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(t) - n - 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i + 1, n), " ").alias("ngram"), F.get(t, i + n).alias("next_token")))
 
-    grams = [of(n) for n in range(n_min, n_max + 1)]
-    none = F.array().cast("array<struct<n:int,ngram:string,next_token:string>>")
-    rows = F.flatten(F.array(*[F.when(F.size(t) > n, g).otherwise(none) for n, g in zip(range(n_min, n_max + 1), grams, strict=True)]))
-    return d.select(F.explode(rows).alias("x")).select("x.*").groupBy("n", "ngram", "next_token").agg(F.count("*").alias("cnt"))
+def counts(d: DataFrame, tokens: str, n_max: int = 4, n_min: int = 1) -> DataFrame:
+    """(n, ngram, next_token, cnt) of all n-grams; partial sums before the shuffle."""
+    return grams(d, tokens, n_max, n_min).groupBy("n", "ngram", "next_token").agg(F.count("*").alias("cnt"))
 
 
 def merge(*tables: DataFrame) -> DataFrame:
@@ -32,9 +37,9 @@ def merge(*tables: DataFrame) -> DataFrame:
 
 def best_next(table: DataFrame, min_count: int = 1, min_percent: int = 0) -> DataFrame:
     """(n, ngram, next_token, cnt): the most frequent next token, if it has the count and the share; the smaller token on ties."""
-    total = table.groupBy("n", "ngram").agg(F.sum("cnt").alias("x_t"), F.max(F.struct("cnt", F.col("next_token"))).alias("x_hi"))
-    low = table.join(total, ["n", "ngram"]).filter(F.col("cnt") == F.col("x_hi.cnt")).groupBy("n", "ngram").agg(F.min("next_token").alias("next_token"), F.first("cnt").alias("cnt"), F.first("x_t").alias("x_t"))
-    return low.filter((F.col("cnt") >= min_count) & (100 * F.col("cnt") >= min_percent * F.col("x_t"))).drop("x_t")
+    best = table.groupBy("n", "ngram").agg(F.min(F.struct((-F.col("cnt")).alias("less"), "next_token")).alias("x"), F.sum("cnt").alias("x_t"))
+    best = best.select("n", "ngram", "x.next_token", (-F.col("x.less")).alias("cnt"), "x_t")
+    return best.filter((F.col("cnt") >= min_count) & (100 * F.col("cnt") >= min_percent * F.col("x_t"))).drop("x_t")
 
 
 def draft(contexts: DataFrame, key: str, tokens: str, tables: list[DataFrame], n_max: int = 4) -> DataFrame:
@@ -42,9 +47,11 @@ def draft(contexts: DataFrame, key: str, tokens: str, tables: list[DataFrame], n
     t = F.col(tokens)
     sfx = F.array(*[F.when(F.size(t) >= n, F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, F.size(t) - n + 1, n), " ").alias("ngram"))) for n in range(1, n_max + 1)])
     c = contexts.select(key, F.explode(F.filter(sfx, lambda x: x.isNotNull())).alias("x")).select(key, "x.*")
+    asked = c.select("n", "ngram").distinct()
     hits = None
     for i, table in enumerate(tables):
-        h = c.join(best_next(table), ["n", "ngram"]).withColumn("source", F.lit(i))
+        # the semi join goes below the counting, which then counts only what is asked
+        h = c.join(best_next(table.join(asked, ["n", "ngram"], "left_semi")), ["n", "ngram"]).withColumn("source", F.lit(i))
         hits = h if hits is None else hits.unionByName(h)
     w = Window.partitionBy(key).orderBy("source", F.desc("n"))
     return hits.withColumn("x_r", F.row_number().over(w)).filter("x_r = 1").select(key, "n", "ngram", "next_token", "source")

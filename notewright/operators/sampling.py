@@ -145,16 +145,22 @@ def ranked_report(d: DataFrame, n: int) -> DataFrame:
 
 
 def repeat_lengths(tokens: list[int], breakers: frozenset[int], last_n: int) -> dict[int, int]:
-    """For each token that would continue a repetition of the sequence's end: the longest such repetition."""
-    t = tokens[-last_n:] if last_n > 0 else tokens
-    stop = next((i for i in range(len(t) - 1, -1, -1) if t[i] in breakers), -1)
-    most, out = len(t) - 1 - stop, {}
-    for end in range(len(t) - 1):
-        n = 0
-        while n < most and n <= end and t[end - n] == t[len(t) - 1 - n]:
+    """For each token that would continue a repetition of the sequence's end: the longest such repetition.
+
+    The lengths are the common prefixes of the reversed sequence with its own endings (its Z values), linear in the sequence.
+    """
+    t = (tokens[-last_n:] if last_n > 0 else tokens)[::-1]
+    most = next((i for i, x in enumerate(t) if x in breakers), len(t))
+    z, left, right, out = [0] * len(t), 0, 0, {}
+    for i in range(1, len(t)):
+        n = min(right - i, z[i - left]) if i < right else 0
+        while i + n < len(t) and t[n] == t[i + n]:
             n += 1
-        if n:
-            out[t[end + 1]] = max(n, out.get(t[end + 1], 0))
+        z[i] = n
+        if i + n > right:
+            left, right = i, i + n
+        if min(n, most):
+            out[t[i - 1]] = max(min(n, most), out.get(t[i - 1], 0))
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import running
+
 Z = 1.95996398454
 
 
@@ -38,23 +40,34 @@ def mean_and_error(n: Column, s: Column, s2: Column) -> tuple[Column, Column]:
     return F.when(n >= 1, mean).otherwise(0.0), F.when(n > 10, F.sqrt(F.greatest(s2 / n - mean * mean, F.lit(0.0)) / (n - 1))).otherwise(0.0)
 
 
-def divergence_suite(d: DataFrame, by: list[str], base_nll: str, nll: str, kld: str, same_top: str) -> DataFrame:
-    """Mean ratio of perplexities, correlation, KL mean / max / min / percentiles, probability shift and same-top rate in one pass."""
+#: Percentiles of the divergences that are reported.
+KLD_POINTS = {"999": 0.999, "99": 0.99, "95": 0.95, "90": 0.9, "median": 0.5, "10": 0.1, "05": 0.05, "01": 0.01, "001": 0.001}
+
+
+def divergence_suite(d: DataFrame, by: list[str], base_nll: str, nll: str, kld: str, same_top: str, least: int = 100) -> DataFrame:
+    """Mean ratio of perplexities, correlation, KL mean / max / min / percentiles, probability shift and same-top rate in one pass, with errors.
+
+    Percentiles and extremes are null for fewer than ``least`` rows.
+    """
     b, q, k = F.col(base_nll), F.col(nll), F.col(kld)
     dp = F.exp(-q) - F.exp(-b)
+    error = lambda x: F.sqrt(F.greatest(F.avg(x * x) - F.avg(x) * F.avg(x), F.lit(0.0)) / (F.count("*") - 1))
+    several = lambda x: F.when(F.count("*") > 1, x)
+    enough = lambda x: F.when(F.count("*") >= least, x)
+    top = F.col(same_top).cast("double")
+    points = F.percentile(k, F.array(*[F.lit(x) for x in KLD_POINTS.values()]))
     s = d.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(b).alias("base_mean"), F.avg(q).alias("mean"), F.avg(q - b).alias("ln_ratio"), F.corr(b, q).alias("correlation"),
-        F.avg(k).alias("kld_mean"), F.max(k).alias("kld_max"), F.min(k).alias("kld_min"), F.percentile(k, F.lit(0.5)).alias("kld_median"),
-        F.percentile(k, F.lit(0.99)).alias("kld_99"), F.avg(dp).alias("dp_mean"), F.sqrt(F.avg(dp * dp)).alias("dp_rms"), F.avg(F.col(same_top).cast("double")).alias("same_top"),
+        F.count("*").alias("n"), F.avg(b).alias("base_mean"), F.avg(q).alias("mean"), F.avg(q - b).alias("ln_ratio"), several(error(q - b)).alias("ln_ratio_err"), F.corr(b, q).alias("correlation"),
+        F.avg(k).alias("kld_mean"), several(error(k)).alias("kld_err"), enough(F.max(k)).alias("kld_max"), enough(F.min(k)).alias("kld_min"), enough(points).alias("x_points"),
+        F.avg(dp).alias("dp_mean"), several(error(dp)).alias("dp_err"), F.sqrt(F.avg(dp * dp)).alias("dp_rms"), F.avg(top).alias("same_top"), F.coalesce(several(error(top)), F.lit(0.0)).alias("same_top_err"),
     )
-    err = F.when(F.col("n") > 1, F.sqrt(F.col("same_top") * (1 - F.col("same_top")) / (F.col("n") - 1))).otherwise(0.0)
-    return s.withColumn("same_top_err", err)
+    return s.select("*", *[F.get("x_points", F.lit(i)).alias(f"kld_{n}") for i, n in enumerate(KLD_POINTS)]).drop("x_points")
 
 
 def running_accuracy(d: DataFrame, by: list[str], order: str, correct: str) -> DataFrame:
     """Adds n, accuracy so far, and the Wilson interval's ends."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("n", F.count("*").over(w)).withColumn("accuracy", F.avg(F.col(correct).cast("double")).over(w))
+    d = running(d, by, [order], {"n": F.lit(1).cast("long"), "x_right": F.col(correct).cast("long")})
+    d = d.withColumn("accuracy", F.col("x_right") / F.col("n")).drop("x_right")
     lo, hi = wilson(F.col("accuracy"), F.col("n"))
     return d.withColumn("low", lo).withColumn("high", hi)
 

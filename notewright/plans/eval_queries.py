@@ -58,10 +58,15 @@ def strided_perplexity(spark, d):
     return A.perplexity(A.strided_positions(e, ["user_id"], "event_id", 8, 4), ["user_id"], "nll").select("user_id", "n", R6("ppl").alias("ppl"))
 
 
-@query("kld_suite", """WITH e AS (SELECT event_type, ln(1 + value) AS b, ln(1 + value) * 1.1 + 0.01 * (event_id % 7) AS q, value / (100 + event_id % 13) AS k, event_id % 5 <> 0 AS same FROM events)
-SELECT event_type, count(*) AS n, round(avg(q - b), 6) AS ln_ratio, round(corr(b, q), 6) AS correlation, round(avg(k), 6) AS kld_mean, round(max(k), 6) AS kld_max, round(min(k), 6) AS kld_min,
-round(quantile_cont(k, 0.5), 6) AS kld_median, round(quantile_cont(k, 0.99), 6) AS kld_99, round(avg(exp(-q) - exp(-b)), 6) AS dp_mean, round(sqrt(avg((exp(-q) - exp(-b)) ** 2)), 6) AS dp_rms,
-round(avg(CAST(same AS DOUBLE)), 6) AS same_top, round(sqrt(avg(CAST(same AS DOUBLE)) * (1 - avg(CAST(same AS DOUBLE))) / (count(*) - 1)), 6) AS same_top_err FROM e GROUP BY event_type""")
+_ERR = "round(sqrt(greatest(avg(({0}) ** 2) - avg({0}) ** 2, 0) / (count(*) - 1)), 6)"
+
+
+@query("kld_suite", f"""WITH e AS (SELECT event_type, ln(1 + value) AS b, ln(1 + value) * 1.1 + 0.01 * (event_id % 7) AS q, value / (100 + event_id % 13) AS k, event_id % 5 <> 0 AS same FROM events)
+SELECT event_type, count(*) AS n, round(avg(q - b), 6) AS ln_ratio, {_ERR.format('q - b')} AS ln_ratio_err, round(corr(b, q), 6) AS correlation, round(avg(k), 6) AS kld_mean, {_ERR.format('k')} AS kld_err,
+CASE WHEN count(*) >= 100 THEN round(max(k), 6) END AS kld_max, CASE WHEN count(*) >= 100 THEN round(min(k), 6) END AS kld_min,
+{', '.join(f"CASE WHEN count(*) >= 100 THEN round(quantile_cont(k, {x}), 6) END AS kld_{n}" for n, x in A.KLD_POINTS.items())},
+round(avg(exp(-q) - exp(-b)), 6) AS dp_mean, {_ERR.format('exp(-q) - exp(-b)')} AS dp_err, round(sqrt(avg((exp(-q) - exp(-b)) ** 2)), 6) AS dp_rms,
+round(avg(CAST(same AS DOUBLE)), 6) AS same_top, {_ERR.format('CAST(same AS DOUBLE)')} AS same_top_err FROM e GROUP BY event_type""")
 def kld_suite(spark, d):
     i = F.col("event_id")
     e = table(spark, d, "events").select("event_type", F.log(1 + F.col("value")).alias("b"), (F.log(1 + F.col("value")) * 1.1 + 0.01 * (i % 7)).alias("q"), (F.col("value") / (100 + i % 13)).alias("k"), (i % 5 != 0).alias("same"))

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 #: What closes a prompt for each model family.
 SUFFIXES = {
     "mistral": "[/INST]",
-    "llama3": "<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n",
-    "phi4": "<|im_end|><|im_start|>assistant<|im_sep|>",
+    "llama3": "<|eot_id|>\n<|start_header_id|>assistant<|end_header_id|>\n\n",
+    "phi4": "<|im_end|>\n<|im_start|>assistant<|im_sep|>\n",
     "gemma2": "<end_of_turn>\n<start_of_turn>model\n",
     "qwen": "<|im_end|>\n<|im_start|>assistant\n",
+    "R1": "<｜Assistant｜>\n",
 }
 
 

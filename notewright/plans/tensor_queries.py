@@ -119,10 +119,13 @@ def conv_transpose_1d(spark, d):
     return _long(emb(spark, d), ("v", T.conv_transpose_1d(F.col("a"), kernel, 3, 2)))
 
 
-@query("matmul_coo", f"WITH {E}, m AS (SELECT vec_id AS i, unnest(range(0, 64)) AS j, unnest(a) AS v FROM e WHERE vec_id % 25 = 0) SELECT x.i, y.i AS k, round(sum(x.v * y.v), 6) AS v FROM m x JOIN m y ON x.j = y.j GROUP BY x.i, y.i")
+@query("matmul_coo", f"WITH {E}, m AS (SELECT vec_id AS i, CAST(k - 1 AS INTEGER) AS j, a[k] AS v FROM e, unnest(range(1, 65)) AS t(k)), c AS (SELECT label AS k, j, avg(v) AS v FROM m JOIN e ON vec_id = i GROUP BY 1, 2) SELECT m.i, c.k, round(sum(m.v * c.v), 6) AS v FROM m JOIN c USING (j) GROUP BY 1, 2")
 def matmul_coo(spark, d):
-    m = T.to_coo(emb(spark, d).filter("vec_id % 25 = 0"), "vec_id", "a")
-    return T.mul_mat(m, m).select("i", "k", R6("v").alias("v"))
+    """All vectors times the matrix of the labels' mean vectors."""
+    e = emb(spark, d)
+    m = T.to_coo(e, "vec_id", "a")
+    c = V.mean_vector(e, ["label"], "a").select(F.col("label").alias("i"), F.col("idx").alias("j"), "v")
+    return T.mul_mat(m, c).select("i", "k", R6("v").alias("v"))
 
 
 @query("gram_matrix", "WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS a FROM embeddings) SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(sum(a[i] * a[j]), 6) AS v FROM e, unnest(range(1, 65)) AS t(i), unnest(range(1, 65)) AS s(j) GROUP BY 1, 2")
@@ -148,13 +151,15 @@ def scatter_add_rows(spark, d):
     return T.get_rows_back(emb(spark, d).withColumn("id", F.col("vec_id") % 7), "id", "a").select("id", "idx", R6("v").alias("v"))
 
 
-@query("routed_matmul", f"""WITH {E}, x AS (SELECT label AS e, vec_id % 4 AS i, CAST(k - 1 AS INTEGER) AS j, avg(a[k]) AS v FROM e, unnest(range(1, 9)) AS t(k) WHERE label < 4 GROUP BY 1, 2, 3), b AS (SELECT vec_id AS row, CAST(k - 1 AS INTEGER) AS j, a[k] AS y FROM e, unnest(range(1, 9)) AS t(k) WHERE vec_id % 50 = 0),
-ids AS (SELECT DISTINCT row, (row // 50 + s) % 4 AS e FROM b, unnest([0, 1]) AS t(s)) SELECT b.row, x.e, x.i, round(sum(x.v * y), 6) AS v FROM ids JOIN b USING (row) JOIN x ON x.e = ids.e AND x.j = b.j GROUP BY 1, 2, 3""")
+@query("routed_matmul", f"""WITH {E}, x AS (SELECT label AS e, vec_id % 4 AS i, CAST(k - 1 AS INTEGER) AS j, avg(a[k]) AS v FROM e, unnest(range(1, 65)) AS t(k) GROUP BY 1, 2, 3),
+ids AS (SELECT DISTINCT vec_id AS row, (vec_id + s * 3) % 10 AS e FROM e, unnest([0, 1]) AS t(s)) SELECT row, x.e, x.i, round(sum(x.v * a[j + 1]), 6) AS v FROM ids JOIN e ON vec_id = row JOIN x ON x.e = ids.e GROUP BY 1, 2, 3""")
 def routed_matmul(spark, d):
-    c = emb(spark, d).select("vec_id", "label", F.posexplode(F.slice("a", 1, 8)).alias("j", "y"))
-    x = c.filter("label < 4").groupBy(F.col("label").alias("e"), (F.col("vec_id") % 4).alias("i"), "j").agg(F.avg("y").alias("v"))
-    b = c.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("row"), "j", F.col("y").alias("v"))
-    ids = b.select("row").distinct().select("row", F.explode(F.array(F.expr("cast((row div 50) % 4 as int)"), F.expr("cast((row div 50 + 1) % 4 as int)"))).alias("e"))
+    """Every vector times the matrices of two of the ten experts, whose rows are mean vectors."""
+    c = emb(spark, d).select("vec_id", "label", F.posexplode("a").alias("j", "y"))
+    x = c.groupBy(F.col("label").alias("e"), (F.col("vec_id") % 4).alias("i"), "j").agg(F.avg("y").alias("v"))
+    b = c.select(F.col("vec_id").alias("row"), "j", F.col("y").alias("v"))
+    chosen = F.array(*[((F.col("vec_id") + s) % 10).cast("int") for s in (0, 3)])
+    ids = emb(spark, d).select(F.col("vec_id").alias("row"), F.explode(chosen).alias("e"))
     return T.mul_mat_id(x, b, ids).select("row", "e", "i", R6("v").alias("v"))
 
 
@@ -164,10 +169,10 @@ def pool_2d(spark, d):
     return T.pool_2d(m, 2, 2, 2, 2).select(F.col("i").cast("long").alias("i"), "j", R6("v").alias("v"))
 
 
-@query("sliding_window_attention", f"""WITH {E}, r AS (SELECT label AS seq, vec_id AS pos, a FROM e), s AS (SELECT x.seq, x.pos, y.a[9:12] AS v, exp(list_dot_product(x.a[1:8], y.a[1:8]) * 2) AS w FROM r x JOIN r y ON x.seq = y.seq AND y.pos BETWEEN x.pos - 39 AND x.pos)
-SELECT seq, pos, CAST(c - 1 AS INTEGER) AS idx, round(sum(w * v[c]) / sum(w), 6) AS v FROM s, unnest(range(1, 5)) AS t(c) GROUP BY 1, 2, 3""")
+@query("sliding_window_attention", f"""WITH {E}, r AS (SELECT label AS seq, vec_id AS pos, a FROM e), s AS (SELECT x.seq, x.pos, y.a AS v, exp(list_dot_product(x.a, y.a) * 2) AS w FROM r x JOIN r y ON x.seq = y.seq AND y.pos BETWEEN x.pos - 39 AND x.pos)
+SELECT seq, pos, CAST(c - 1 AS INTEGER) AS idx, round(sum(w * v[c]) / sum(w), 6) AS v FROM s, unnest(range(1, 65)) AS t(c) GROUP BY 1, 2, 3""")
 def sliding_window_attention(spark, d):
-    r = emb(spark, d).select(F.col("label").alias("seq"), F.col("vec_id").alias("pos"), F.slice("a", 1, 8).alias("q"), F.slice("a", 1, 8).alias("k"), F.slice("a", 9, 4).alias("v"))
+    r = emb(spark, d).select(F.col("label").alias("seq"), F.col("vec_id").alias("pos"), *[F.col("a").alias(c) for c in "qkv"])
     return T.sliding_attention(r, 40, 2.0).select("seq", "pos", F.posexplode("out").alias("idx", "v")).withColumn("v", R6("v"))
 
 
@@ -192,8 +197,12 @@ def adamw_step(spark, d):
 
 @query("recurrences")
 def recurrences(spark, d):
-    r = emb(spark, d).select(F.col("label").alias("seq"), F.col("vec_id").alias("pos"), *[F.slice("a", 1 + 4 * i, 4).alias(n) for i, n in enumerate("rkvwqg")])
-    outs = [("wkv6", T.wkv6(r, [0.5] * 4)), ("gla", T.gated_linear_attention(r, 0.5)), ("ssm", T.ssm_scan(r.select("seq", "pos", F.col("r").alias("x"), F.col("k").alias("dt"), F.col("v").alias("b"), F.col("w").alias("c")), [-1.0] * 4))]
+    """The sequential operators along each label's vectors, all components: an eighth of them is one of the operators' inputs."""
+    r = emb(spark, d).select(F.col("label").alias("seq"), F.col("vec_id").alias("pos"), *[F.slice("a", 1 + 8 * i, 8).alias(n) for i, n in enumerate("rkvwqgab")])
+    outs = [
+        ("wkv6", T.wkv6(r, [0.5] * 8)), ("gla", T.gated_linear_attention(r, 0.5)), ("wkv7", T.wkv7(r)),
+        ("ssm", T.ssm_scan(r.select("seq", "pos", F.col("r").alias("x"), F.col("k").alias("dt"), F.col("v").alias("b"), F.col("w").alias("c")), [-1.0] * 8)),
+    ]
     out = None
     for n, o in outs:
         o = o.select(F.lit(n).alias("op"), "seq", "pos", F.posexplode("out").alias("idx", "v")).withColumn("v", F.round("v", 6))
@@ -201,15 +210,17 @@ def recurrences(spark, d):
     return out
 
 
-@query("cosine_pairs", f"WITH {E}, q AS (SELECT * FROM e WHERE vec_id < 40) SELECT x.vec_id AS a_id, y.vec_id AS b_id, round(list_cosine_similarity(x.a, y.a), 6) AS cos FROM q x, q y")
+@query("cosine_pairs", f"WITH {E}, q AS (SELECT * FROM e WHERE vec_id % 100 = 0) SELECT x.vec_id AS a_id, y.vec_id AS b_id, round(list_cosine_similarity(x.a, y.a), 6) AS cos FROM q x, e y")
 def cosine_pairs(spark, d):
-    return V.cosine_pairs(emb(spark, d).filter("vec_id < 40"), "vec_id", "a").select("a_id", "b_id", R6("cos").alias("cos"))
+    """The stated queries (ids divisible by 100) against all rows."""
+    e = emb(spark, d)
+    return V.cosine_pairs(e, "vec_id", "a", e.filter("vec_id % 100 = 0")).select("a_id", "b_id", R6("cos").alias("cos"))
 
 
-@query("cosine_topk", f"WITH {E} SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, r.vec_id, round(list_cosine_similarity(q.a, r.a), 6) AS cos FROM e q, e r WHERE q.vec_id < 10 WINDOW w AS (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.a, r.a), 9) DESC, r.vec_id) QUALIFY row_number() OVER w <= 10")
+@query("cosine_topk", f"WITH {E} SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, r.vec_id, round(list_cosine_similarity(q.a, r.a), 6) AS cos FROM e q, e r WHERE q.vec_id % 100 = 0 WINDOW w AS (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.a, r.a), 9) DESC, r.vec_id) QUALIFY row_number() OVER w <= 10")
 def cosine_topk(spark, d):
     e = emb(spark, d)
-    return V.top_k(e.filter("vec_id < 10"), e, "vec_id", "a", 10).select("query_id", "rank", "vec_id", R6("cos").alias("cos"))
+    return V.top_k(e.filter("vec_id % 100 = 0"), e, "vec_id", "a", 10).select("query_id", "rank", "vec_id", R6("cos").alias("cos"))
 
 
 @query("normalize_vectors", f"WITH {E}, u AS (SELECT vec_id, a, CAST(i - 1 AS INTEGER) AS idx, a[i] AS x FROM e, unnest(range(1, 65)) AS t(i)) SELECT vec_id, idx, round(x / sqrt(list_dot_product(a, a)), 6) AS l2, round(x / (list_max(list_transform(a, lambda v: abs(v))) / 32760.0::DOUBLE) / 32760, 6) AS maxabs, round(x / pow(list_sum(list_transform(a, lambda v: pow(abs(v), 3))), 1.0 / 3), 6) AS p3 FROM u")

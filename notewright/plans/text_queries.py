@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import contracts as C
 from ..functions import strings as S
 from ..operators import ngrams as N
-from ..operators.joins import common_prefix
+from ..operators.joins import common_prefix, running, with_neighbours, with_ordinal
 from ..queries import query
 from ..session import table
 
@@ -26,16 +26,27 @@ def word_pretokenize(spark, d):
     return tokens(spark, d).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-@query("ngram_counts", f"WITH {_W}, g AS ({_G}) SELECT CAST(n AS INTEGER) AS n, ngram, next_token, count(*) AS cnt FROM g GROUP BY ALL HAVING count(*) >= 3")
+_DIGEST = """SELECT CAST(n AS INTEGER) AS n, next_token, count(*) AS grams, CAST(sum(c) AS BIGINT) AS total, max(c) AS top, count(*) FILTER (c = 1) AS single,
+CAST(sum(length(ngram)) AS BIGINT) AS chars FROM (SELECT n, ngram, next_token, count(*) AS c FROM g GROUP BY ALL) GROUP BY n, next_token"""
+
+
+def _digest(counts):
+    """The whole table of counts per order and next token: n-grams, occurrences, the most frequent, those seen once, characters."""
+    single = F.sum((F.col("cnt") == 1).cast("long"))
+    return counts.groupBy("n", "next_token").agg(
+        F.count("*").alias("grams"), F.sum("cnt").alias("total"), F.max("cnt").alias("top"), single.alias("single"), F.sum(F.length("ngram").cast("long")).alias("chars")
+    )
+
+
+@query("ngram_counts", f"WITH {_W}, g AS ({_G}) {_DIGEST}")
 def ngram_counts(spark, d):
-    return N.counts(tokens(spark, d), "t").filter("cnt >= 3")
+    return _digest(N.counts(tokens(spark, d), "t"))
 
 
-@query("ngram_merge", f"WITH {_W}, g AS ({_G}) SELECT CAST(n AS INTEGER) AS n, count(*) AS grams, CAST(sum(c) AS BIGINT) AS total, max(c) AS top FROM (SELECT n, ngram, next_token, count(*) AS c FROM g WHERE n <= 2 GROUP BY ALL) GROUP BY n")
+@query("ngram_merge", f"WITH {_W}, g AS ({_G}) {_DIGEST}")
 def ngram_merge(spark, d):
     t = tokens(spark, d)
-    m = N.merge(*[N.counts(t.filter(F.col("doc_id") % 2 == i), "t", 2) for i in range(2)])
-    return m.groupBy("n").agg(F.count("*").alias("grams"), F.sum("cnt").alias("total"), F.max("cnt").alias("top"))
+    return _digest(N.merge(*[N.counts(t.filter(F.col("doc_id") % 2 == i), "t") for i in range(2)]))
 
 
 @query("ngram_draft", f"""WITH {_W}, g AS ({_G}), c AS (SELECT n, ngram, next_token, count(*) AS c FROM g WHERE n <= 3 GROUP BY ALL), b AS (SELECT n, ngram, arg_min(next_token, (-c, next_token)) AS next_token FROM c GROUP BY n, ngram),
@@ -46,6 +57,17 @@ def ngram_draft(spark, d):
     return N.draft(ctx, "doc_id", "t", [N.counts(t, "t", 3)], 3).select("doc_id", "n", "next_token")
 
 
+@query("ngram_draft_fallback", f"""WITH {_W}, g AS ({_G}), c AS (SELECT doc_id % 3 = 0 AS own, n, ngram, next_token, count(*) AS c FROM (SELECT doc_id, n, array_to_string(t[i:i+n-1], ' ') AS ngram, t[i+n] AS next_token FROM w, unnest([1, 2]) AS o(n), unnest(range(1, len(t) - n + 1)) AS u(i)) GROUP BY ALL),
+b AS (SELECT own, n, ngram, arg_min(next_token, (-c, next_token)) AS next_token FROM c GROUP BY own, n, ngram), s AS (SELECT doc_id, n, array_to_string(t[len(t)//2 - n + 1:len(t)//2], ' ') AS ngram FROM w, unnest([1, 2]) AS u(n) WHERE len(t)//2 >= n)
+SELECT doc_id, CAST(s.n AS INTEGER) AS n, next_token, CAST(NOT own AS INTEGER) AS source FROM s JOIN b ON b.n = s.n AND b.ngram = s.ngram QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY own DESC, s.n DESC) = 1""")
+def ngram_draft_fallback(spark, d):
+    """Two tables, the second asked where the first knows no suffix: a context and a static cache."""
+    t = tokens(spark, d)
+    ctx = t.select("doc_id", F.slice("t", 1, F.floor(F.size("t") / 2).cast("int")).alias("t"))
+    tables = [N.counts(t.filter(f"doc_id % 3 {op} 0"), "t", 2) for op in ("=", "<>")]
+    return N.draft(ctx, "doc_id", "t", tables, 2).select("doc_id", "n", "next_token", "source")
+
+
 @query("draft_acceptance")
 def draft_acceptance(spark, d):
     return N.acceptance(tokens(spark, d), "doc_id", "t")
@@ -74,14 +96,14 @@ def json_contract_parse(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("json_lesion_rows", "SELECT doc_id, CAST(i AS INTEGER) AS no, 's' || CAST(doc_id + i AS VARCHAR) AS sample_id, CAST(i * 3 AS VARCHAR) AS size FROM labels, unnest(range(0, 3)) AS u(i) WHERE i < doc_id % 4")
+@query("json_lesion_rows", "SELECT doc_id, CAST(i AS INTEGER) AS no, 's' || CAST(doc_id + i AS VARCHAR) AS sample_id, CAST(i * 3 AS VARCHAR) AS size FROM labels, unnest(range(0, 4)) AS u(i) WHERE i < doc_id % 4")
 def json_lesion_rows(spark, d):
     n = (F.col("doc_id") % 4).cast("int")
     one = lambda i: F.concat(F.lit('{"sample_ID":"s'), (F.col("doc_id") + i).cast("string"), F.lit('","size":"'), (i * 3).cast("string"), F.lit('"}'))
     arr = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<string>"))
     a = F.concat(F.lit("["), F.array_join(arr, ","), F.lit("]"))
     x = C.parse_lesions(table(spark, d, "labels").select("doc_id", a.alias("answer")))
-    return x.filter("no < 3").select("doc_id", "no", F.col("sample_ID").alias("sample_id"), "size")
+    return x.select("doc_id", "no", F.col("sample_ID").alias("sample_id"), "size")
 
 
 @query("json_schema_check", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 10 AND 60 AS ok FROM events")
@@ -99,40 +121,46 @@ def metric_bucket_rates(spark, d):
 
 @query("metric_totals", "SELECT event_type, event_id, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS total FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def metric_totals(spark, d):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_type", "event_id", F.count("*").over(w).alias("n"), F.round(F.sum("value").over(w), 4).alias("total"))
+    e = table(spark, d, "events").select("event_type", "event_id", "value")
+    r = running(e, ["event_type"], ["event_id"], {"n": F.lit(1).cast("long"), "total": F.col("value")})
+    return r.select("event_type", "event_id", "n", F.round("total", 4).alias("total"))
 
 
 @query("shard_split_by_bytes", "WITH s AS (SELECT lang, doc_id, strlen(text) AS n FROM documents), r AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n AS b FROM s) SELECT lang, CAST(b // 65536 AS BIGINT) AS shard, count(*) AS docs, CAST(sum(n) AS BIGINT) AS bytes FROM r GROUP BY 1, 2")
 def shard_split_by_bytes(spark, d):
-    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    s = table(spark, d, "documents").select("lang", "doc_id", F.octet_length("text").cast("long").alias("n"))
-    s = s.withColumn("shard", F.floor((F.sum("n").over(w) - F.col("n")) / 65536))
-    return s.groupBy("lang", "shard").agg(F.count("*").alias("docs"), F.sum("n").alias("bytes"))
+    s = table(spark, d, "documents").select("lang", "doc_id", F.octet_length("text").cast("long").alias("size"))
+    s = running(s, ["lang"], ["doc_id"], {"upto": F.col("size")})
+    return s.groupBy("lang", F.floor((F.col("upto") - F.col("size")) / 65536).alias("shard")).agg(F.count("*").alias("docs"), F.sum("size").alias("bytes"))
 
 
 @query("micro_batches_by_length", "WITH s AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) - 1 AS r FROM documents) SELECT source, CAST(r // 8 AS BIGINT) AS batch, count(*) AS rows, CAST(max(n) AS BIGINT) AS longest FROM s GROUP BY 1, 2")
 def micro_batches_by_length(spark, d):
-    w = Window.partitionBy("source").orderBy(F.desc("n"), "doc_id")
-    s = table(spark, d, "documents").select("source", "doc_id", F.length("text").cast("long").alias("n")).withColumn("batch", F.floor((F.row_number().over(w) - 1) / 8))
-    return s.groupBy("source", "batch").agg(F.count("*").alias("rows"), F.max("n").alias("longest"))
+    s = table(spark, d, "documents").select("source", "doc_id", F.length("text").cast("long").alias("size"), (-F.length("text")).alias("less"))
+    s = with_ordinal(s, ["less", "doc_id"], ["source"])
+    return s.groupBy("source", F.floor((F.col("n") - 1) / 8).alias("batch")).agg(F.count("*").alias("rows"), F.max("size").alias("longest"))
 
 
-@query("longest_common_prefix", """WITH s AS (SELECT doc_id, lang, string_split(text, ' ')[1:40] AS t FROM documents), q AS (SELECT * FROM s WHERE doc_id % 50 = 0),
-p AS (SELECT q.doc_id, s.doc_id AS other, coalesce(list_position(list_transform(range(1, least(len(q.t), len(s.t)) + 1), lambda i: q.t[i] = s.t[i]), FALSE) - 1, least(len(q.t), len(s.t))) AS n FROM q JOIN s ON q.lang = s.lang AND q.t[1] = s.t[1] AND q.doc_id <> s.doc_id)
-SELECT doc_id, arg_max(other, (n, -other)) AS slot, CAST(max(n) AS INTEGER) AS n FROM p GROUP BY doc_id""")
+@query("longest_common_prefix", """WITH s AS (SELECT doc_id, lang, string_split(text, ' ') AS t FROM documents), p AS (SELECT doc_id, t, lag(t) OVER w AS a, lag(doc_id) OVER w AS a_id, lead(t) OVER w AS b, lead(doc_id) OVER w AS b_id FROM s WINDOW w AS (PARTITION BY lang ORDER BY t, doc_id)),
+n AS (SELECT *, CASE WHEN a IS NULL THEN -1 ELSE coalesce(list_position(list_transform(range(1, least(len(t), len(a)) + 1), lambda i: t[i] = a[i]), FALSE) - 1, least(len(t), len(a))) END AS an,
+CASE WHEN b IS NULL THEN -1 ELSE coalesce(list_position(list_transform(range(1, least(len(t), len(b)) + 1), lambda i: t[i] = b[i]), FALSE) - 1, least(len(t), len(b))) END AS bn FROM p)
+SELECT doc_id, CASE WHEN an >= bn THEN a_id ELSE b_id END AS slot, CAST(greatest(an, bn) AS INTEGER) AS n FROM n WHERE greatest(an, bn) >= 0""")
 def longest_common_prefix(spark, d):
-    s = table(spark, d, "documents").select("doc_id", "lang", F.slice(F.split("text", " "), 1, 40).alias("t")).withColumn("first", F.col("t")[0])
-    q = s.filter(F.col("doc_id") % 50 == 0).select("lang", "first", F.col("doc_id").alias("q_id"), F.col("t").alias("q_t"))
-    p = q.join(s, ["lang", "first"]).filter("q_id <> doc_id").select("q_id", "doc_id", common_prefix(F.col("q_t"), F.col("t")).alias("n"))
-    best = p.groupBy("q_id").agg(F.max(F.struct("n", (-F.col("doc_id")).alias("o"))).alias("b"))
-    return best.select(F.col("q_id").alias("doc_id"), (-F.col("b.o")).alias("slot"), F.col("b.n").alias("n"))
-
-
-@query("text_chunks", """SELECT doc_id, len(string_split(regexp_replace(text, '\\s+', ' ', 'g'), '. ')) > 0 AS ok, CAST(length(text) AS BIGINT) AS n FROM documents""")
+    """For each document another one with the longest common prefix of words: in sorted order it stands beside it (before it on ties)."""
+    s = table(spark, d, "documents").select("doc_id", "lang", F.split("text", " ").alias("t"))
+    s = with_neighbours(s, ["lang"], ["t", "doc_id"], ["doc_id", "t"])
+    size = lambda k: F.when(F.col(f"{k}_t").isNull(), -1).otherwise(common_prefix(F.col("t"), F.col(f"{k}_t")))
+    s = s.withColumn("a", size("prev")).withColumn("b", size("next")).withColumn("n", F.greatest("a", "b"))
+    return s.filter("n >= 0").select("doc_id", F.when(F.col("a") >= F.col("b"), F.col("prev_doc_id")).otherwise(F.col("next_doc_id")).alias("slot"), "n")
+
+
+@query("text_chunks", """WITH RECURSIVE q AS (SELECT doc_id, s, len(s) AS n FROM (SELECT doc_id, string_split(text, '. ') AS s FROM documents)),
+r AS (SELECT doc_id, 0 AS i, '' AS now, []::VARCHAR[] AS done FROM q UNION ALL
+SELECT doc_id, i + 1, CASE WHEN length(x) >= 100 THEN '' ELSE x END, CASE WHEN length(x) >= 100 THEN list_append(done, x) ELSE done END FROM (SELECT r.doc_id, i, done, now || s[i + 1] || CASE WHEN i + 1 < n THEN '. ' ELSE '' END AS x FROM r JOIN q ON q.doc_id = r.doc_id WHERE i < n)),
+f AS (SELECT r.doc_id, CASE WHEN now = '' THEN done WHEN len(done) = 0 THEN [now] ELSE list_append(done[1:len(done) - 1], done[len(done)] || now) END AS c FROM r JOIN q ON q.doc_id = r.doc_id AND i = n)
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS no, md5(c[k]) AS chunk FROM f, unnest(range(1, len(c) + 1)) AS u(k)""")
 def text_chunks(spark, d):
     c = S.chunk_by_separator(F.col("text"), r"\. ", 100)
-    return table(spark, d, "documents").select("doc_id", (F.array_join(c, "") == F.col("text")).alias("ok"), F.length(F.array_join(c, "")).cast("long").alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(c).alias("no", "chunk")).withColumn("chunk", F.md5("chunk"))
 
 
 @query("table_renderings", "SELECT n_nationkey, '\"' || n_name || '\",\"' || CAST(n_regionkey AS VARCHAR) || '\"' AS csv, '| ' || n_name || ' | ' || CAST(n_regionkey AS VARCHAR) || ' |' AS md FROM nation")

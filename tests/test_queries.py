@@ -30,6 +30,9 @@ def plain(v):
     return v
 
 
+# Values of the queries without SQL are tested in test_tools.py; here they must run over the whole tables.
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, duck, name):
     d = QUERIES[name](spark, SF)
