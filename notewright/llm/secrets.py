@@ -65,9 +65,11 @@ def labelled_samples(docs: DataFrame, sample_docs: int = 400, n_random: int = 40
         F.when(F.col("id") % 3 == 0, F.substring(digest, F.lit(1), size)).when(F.col("id") % 3 == 1, F.substring(b64, F.lit(1), size))
         .otherwise(F.substring(F.translate(b64, "+/=", "xQ7"), F.lit(1), size)).alias("value"), F.lit(True).alias("random"))
     h = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit("markov"))
-    some = min(1.0, 4 * sample_docs / max(docs.count(), 1))  # thins out what is sorted; a few times the sample is left
-    few = docs.select(h.alias("h"), "text").filter(F.pmod("h", F.lit(2**31)) <= some * 2**31)
-    text = few.orderBy("h", "text").limit(sample_docs)
+    n = docs.count()
+    every = docs.select(h.alias("h"), "text")
+    few = every.filter(F.pmod("h", F.lit(2**31)) <= min(1.0, 4 * sample_docs / max(n, 1)) * 2**31)  # thins out what is sorted
+    enough = few.limit(sample_docs).count() >= min(sample_docs, n)  # equal rows without an id share a hash, and may all be left out
+    text = (few if enough else every).orderBy("h", "text").limit(sample_docs)
     w = text.select(F.filter(words(F.col("text")), lambda x: x.rlike("^[A-Za-z][A-Za-z_-]{2,}$")).alias("w"))
     pair = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))
     p = w.filter(F.size("w") > 1).select(F.explode(pair).alias("p")).select("p.a", "p.b")
