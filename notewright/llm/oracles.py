@@ -80,3 +80,29 @@ def secrets_sql() -> str:
     return f"""WITH d AS (SELECT doc_id, {_TEXT} AS t FROM documents), {', '.join(parts)}, a AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hexa)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
 sha256(coalesce(string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || st || ':' || en, ',' ORDER BY st, kind), '')) AS base_sha256 FROM d LEFT JOIN a ON a.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+def audit_sql() -> str:
+    """Every document against every step of all orders: which filters fail it, and which of those come earlier in the order."""
+    return rf"""WITH RECURSIVE l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, {_TEXT} AS t, {WORDS.format(_TEXT)} AS w FROM documents),
+f AS (SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+  || (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+o AS (SELECT '' AS o UNION ALL SELECT o || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS v(x) WHERE NOT contains(o, x)),
+s AS (SELECT o AS filter_order, CAST(i AS INT) AS step, o[i] AS letter, o[1:i - 1] AS before FROM o, unnest(range(1, 6)) AS v(i) WHERE length(o) = 5),
+x AS (SELECT part, filter_order, step, letter, good, toxic, contains(fails, letter) AS fails_it, translate(fails, before, '') <> fails AS gone, fails FROM f, s),
+m AS (SELECT part, filter_order, step, letter, count(*) FILTER (NOT gone AND NOT fails_it) AS kept, count(*) FILTER (NOT gone AND fails_it) AS removed, count(*) FILTER (gone AND fails_it) AS redundant,
+  count(*) FILTER (fails = letter) AS unique_fails, count(*) FILTER (NOT gone AND fails_it AND good = 1) AS good_lost, count(*) FILTER (NOT gone AND fails_it AND toxic = 1) AS toxic_lost FROM x GROUP BY ALL)
+SELECT * EXCLUDE letter, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM m"""
+
+
+def fim_sql(seed: int = 1) -> str:
+    """Tokens as a list, cut at the two hashed places and put together again."""
+    h = lambda i: f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)"
+    return rf"""WITH d AS (SELECT doc_id, {_TEXT} AS t, regexp_extract_all({_TEXT}, '[A-Za-z]+|[^A-Za-z]') AS tk, sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT *, CAST(len(tk) AS BIGINT) AS n, least({h(0)} % (len(tk) + 1), {h(1)} % (len(tk) + 1)) AS a, greatest({h(0)} % (len(tk) + 1), {h(1)} % (len(tk) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {h(2)} % 100 >= 90 THEN 'plain' WHEN {h(3)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, t, n, form, array_to_string(tk[1:a], '') AS p, array_to_string(tk[a + 1:b], '') AS m, array_to_string(tk[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""

@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, each over its whole table, and their DuckDB SQL where SQL can express them."""
+"""The thin queries of the operators, each over its whole table, and their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, langid, mixing, oracles, quality, secrets, sentspans, spiece, toxicity
+from . import ann, audit, chat, fim, jaccard, langid, mixing, oracles, puquality, quality, secrets, sentspans, spiece, toxicity
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_quotation_linking(spark: SparkSession, d: str) -> DataFrame:
     return chat.link_quotations(_read(spark, d, "conversations"))
 
 
+def op11_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    return audit.audit(_read(spark, d, "documents").select("doc_id", "text", "source"), _read(spark, d, "labels"))
+
+
+def op12_pu_quality(spark: SparkSession, d: str) -> DataFrame:
+    return puquality.score(_read(spark, d, "documents").select("doc_id", "text"), _read(spark, d, "labels").select("doc_id", "quality"))
+
+
+def op13_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    return fim.digests(fim.transform(_read(spark, d, "documents").select("doc_id", "text")))
+
+
 # What SQL can check of operators whose whole result it can't express.
 
 
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_quotation_linking": op10_quotation_linking,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_pu_quality": op12_pu_quality,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "mix_targets": mix_targets,
     "secret_base_spans": secret_base_spans,
 }
@@ -85,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_divergence_quality": oracles.quality_sql(),
     "op3_jaccard_join": oracles.jaccard_sql(3, 90),
+    "op11_filter_audit": oracles.audit_sql(),
+    "op13_fill_in_middle": oracles.fim_sql(),
     "mix_targets": oracles.targets_sql(),
     "secret_base_spans": oracles.secrets_sql(),
 }
