@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from . import tensor as T
 
 SMALL, small = T.SMALL, T.small
@@ -44,9 +45,8 @@ def diag(a: Column) -> Column:
 
 
 def out_prod(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """(by, i, k, v): sum over the shared row r of a(r, i) b(r, k); inputs (by, r, i, v) and (by, r, k, v)."""
-    x = a.withColumnRenamed("v", "x_a").join(b.withColumnRenamed("v", "x_b"), [*by, "r"])
-    return x.groupBy(*by, "i", "k").agg(F.sum(F.col("x_a") * F.col("x_b")).alias("v"))
+    """(by, i, k, v): sum over the shared row r of a(r, i) b(r, k), by tiles; inputs (by, r, i, v) and (by, r, k, v)."""
+    return blocks.product(a, b, "r", "i", "k", by)
 
 
 def im2col_2d(m: DataFrame, kh: int, kw: int, stride: int, pad: int, dilation: int, h: int, w: int, by: list[str]) -> DataFrame:
@@ -114,23 +114,13 @@ def add_rel_pos(scores: DataFrame, rel_h: DataFrame, rel_w: DataFrame) -> DataFr
     return x.select("q", "kh", "kw", (F.col("v") + F.col("x_h") + F.col("x_w")).alias("v"))
 
 
-def attention(d: DataFrame, window: int, scale: float, softcap: float = 0.0, slope: float = 1.0, mask: str | None = None) -> DataFrame:
-    """(seq, pos, out): attention over the last ``window`` rows of (seq, pos, q, k, v), with soft cap and a mask per key.
+def attention(d: DataFrame, window: int | None, scale: float, softcap: float = 0.0, slope: float = 1.0, mask: str | None = None) -> DataFrame:
+    """(seq, pos, out): attention over the last ``window`` positions (all, if None) of (seq, pos, q, k, v), with soft cap and a mask per key.
 
     ``mask`` is a column of the key's row, added with ``slope``; a null mask takes the key out.
     """
-    frame = Window.partitionBy("seq").orderBy("pos").rangeBetween(1 - window, 0)
-    add = F.lit(0.0) if mask is None else F.col(mask) * slope
-    d = d.withColumn("x_kv", F.collect_list(F.struct("k", "v", add.alias("m"))).over(frame))
-
-    def score(x: Column) -> Column:
-        s = T.dot(F.col("q"), x["k"]) * scale
-        return (softcap * F.tanh(s / softcap) if softcap else s) + x["m"]
-
-    d = d.withColumn("x_w", T.soft_max(F.transform("x_kv", score)))
-    n = F.size(F.col("x_kv")[0]["v"])
-    out = F.transform(F.sequence(F.lit(0), n - 1), lambda c: T.sum_rows(F.zip_with("x_w", "x_kv", lambda p, x: p * F.get(x["v"], c))))
-    return d.select("seq", "pos", out.alias("out"))
+    d = d if mask is None else d.withColumn("x_mask", F.col(mask) * slope)
+    return blocks.attend(d, window, scale, softcap, None if mask is None else "x_mask")
 
 
 def yarn_range(n_dims: int, base: float, n_ctx: int, fast: float, slow: float) -> tuple[float, float]:

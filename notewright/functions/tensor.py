@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
+from . import blocks, scans
+
 SQRT_2_PI = 0.79788456080286535587989211986876
 
 #: Elementwise functions of one value.
@@ -309,9 +311,8 @@ def transpose(m: DataFrame) -> DataFrame:
 
 
 def mul_mat(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Contraction over the shared dim 0 (j): rows i of a by rows i of b."""
-    x = a.select(F.col("i").alias("i"), "j", F.col("v").alias("x")).join(b.select(F.col("i").alias("k"), "j", F.col("v").alias("y")), "j")
-    return x.groupBy("i", "k").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    """(i, k, v): contraction over the shared dim 0 (j) of rows i of a and rows i of b, by tiles (``blocks.product``)."""
+    return blocks.product(a, b.withColumnRenamed("i", "k"), "j", "i", "k")
 
 
 def gram(d: DataFrame, a: str, dim: int) -> DataFrame:
@@ -333,9 +334,12 @@ def gram(d: DataFrame, a: str, dim: int) -> DataFrame:
 
 
 def mul_mat_id(experts: DataFrame, b: DataFrame, ids: DataFrame) -> DataFrame:
-    """(row, e, i, v): each row times the matrices that its ids name; experts (e, i, j, v), b (row, j, v), ids (row, e)."""
-    x = ids.join(experts, "e").join(b.select("row", "j", F.col("v").alias("y")), ["row", "j"])
-    return x.groupBy("row", "e", "i").agg(F.sum(F.col("v") * F.col("y")).alias("v"))
+    """(row, e, i, v): each row times the matrices that its ids name, one product of tiles per expert; experts (e, i, j, v), b (row, j, v), ids (row, e).
+
+    A row that names an expert twice counts once.
+    """
+    routed = ids.select("row", "e").distinct().join(b.select("row", "j", "v"), "row")
+    return blocks.product(experts, routed, "j", "i", "row", ["e"]).select("row", "e", "i", "v")
 
 
 def get_rows(d: DataFrame, ids: DataFrame, key: str, id_column: str) -> DataFrame:
@@ -365,28 +369,19 @@ def conv_2d_dw(m: DataFrame, kernel: DataFrame) -> DataFrame:
     return g.filter("x_n = x_k").select("c", "i", "j", "v")
 
 
-def win_part(m: DataFrame, w: int) -> DataFrame:
-    """Tiles of w x w: (wi, wj, i, j, v)."""
-    return m.select(F.floor(F.col("i") / w).cast("int").alias("wi"), F.floor(F.col("j") / w).cast("int").alias("wj"), (F.col("i") % w).alias("i"), (F.col("j") % w).alias("j"), "v")
+def win_part(m: DataFrame, w: int, by: list[str] | None = None) -> DataFrame:
+    """Tiles of w x w: (by, wi, wj, i, j, v); ``by`` names the columns of an image's key, which a tile keeps."""
+    return m.select(*(by or []), F.floor(F.col("i") / w).cast("int").alias("wi"), F.floor(F.col("j") / w).cast("int").alias("wj"), (F.col("i") % w).alias("i"), (F.col("j") % w).alias("j"), "v")
 
 
-def win_unpart(m: DataFrame, w: int) -> DataFrame:
-    return m.select((F.col("wi") * w + F.col("i")).alias("i"), (F.col("wj") * w + F.col("j")).alias("j"), "v")
+def win_unpart(m: DataFrame, w: int, by: list[str] | None = None) -> DataFrame:
+    """The images of ``win_part``'s tiles: (by, i, j, v)."""
+    return m.select(*(by or []), (F.col("wi") * w + F.col("i")).alias("i"), (F.col("wj") * w + F.col("j")).alias("j"), "v")
 
 
 def sliding_attention(d: DataFrame, window: int | None, s: float) -> DataFrame:
-    """(seq, pos, out): softmax(q k s) v over the positions of the sequence up to pos, ``window`` of them at most.
-
-    Input (seq, pos, q, k, v) with arrays q and k of one length. The window is a bounded frame, so a row gathers ``window`` rows.
-    """
-    frame = Window.partitionBy("seq").orderBy("pos")
-    frame = frame.rangeBetween(Window.unboundedPreceding, 0) if window is None else frame.rangeBetween(1 - window, 0)
-    d = d.withColumn("x_kv", F.collect_list(F.struct("k", "v")).over(frame))
-    w = soft_max(F.transform("x_kv", lambda x: dot(F.col("q"), x["k"])), s)
-    n = F.size(F.col("x_kv")[0]["v"])
-    d = d.withColumn("x_w", w)
-    out = F.transform(F.sequence(F.lit(0), n - 1), lambda c: sum_rows(F.zip_with("x_w", "x_kv", lambda p, x: p * F.get(x["v"], c))))
-    return d.select("seq", "pos", out.alias("out"))
+    """(seq, pos, out): softmax(q k s) v over the positions of the sequence up to pos, ``window`` of them at most (all, if None)."""
+    return blocks.attend(d, window, s)
 
 
 def ssm_conv(d: DataFrame, value: str, kernel: list[float]) -> DataFrame:
@@ -400,65 +395,24 @@ def ssm_conv(d: DataFrame, value: str, kernel: list[float]) -> DataFrame:
     return d.withColumn("out", out)
 
 
-def _recurrence(d: DataFrame, step: Callable, columns: list[str]) -> DataFrame:
-    """(seq, pos, out): ``step(state, row) -> (state, out)`` along each sequence; the sequence is the state's key."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, out = pdf.sort_values("pos"), None, []
-        for r in pdf[columns].itertuples(index=False):
-            state, y = step(state, *[np.asarray(c, dtype=np.float64) for c in r])
-            out.append(y.tolist())
-        return pd.DataFrame({"seq": pdf["seq"], "pos": pdf["pos"], "out": out})
-
-    kinds = dict(d.dtypes)
-    return d.groupBy("seq").applyInPandas(run, f"seq {kinds['seq']}, pos {kinds['pos']}, out array<double>")
-
-
 def ssm_scan(d: DataFrame, a: list[float]) -> DataFrame:
     """Selective scan over (seq, pos, x, dt, b, c): s = s * exp(softplus(dt) a) + b x softplus(dt); out = s c."""
-    decay = np.asarray(a, dtype=np.float64)
-
-    def step(s, x, dt, b, c):
-        s = np.zeros((len(x), len(decay))) if s is None else s
-        soft = np.where(dt <= 20, np.log1p(np.exp(np.minimum(dt, 20))), dt)
-        s = s * np.exp(soft[:, None] * decay[None, :]) + b[None, :] * (x * soft)[:, None]
-        return s, s @ c
-
-    return _recurrence(d, step, ["x", "dt", "b", "c"])
+    return scans.scan(d, scans.Selective(a))
 
 
 def wkv6(d: DataFrame, first: list[float]) -> DataFrame:
     """Recurrent linear attention over (seq, pos, r, k, v, w): the current pair is weighted by ``first``, the state decays by w."""
-    u = np.asarray(first, dtype=np.float64)
-
-    def step(s, r, k, v, w):
-        s = np.zeros((len(k), len(v))) if s is None else s
-        kv = np.outer(k, v)
-        return s * w[:, None] + kv, r @ (u[:, None] * kv + s)
-
-    return _recurrence(d, step, ["r", "k", "v", "w"])
+    return scans.scan(d, scans.Decayed(["r", "k", "v", "w"], np.asarray(first, dtype=np.float64), 1.0))
 
 
 def wkv7(d: DataFrame) -> DataFrame:
     """Version 7 over (seq, pos, r, w, k, v, a, b): s = s w + v k + (s a) b; out = s r."""
-
-    def step(s, r, w, k, v, a, b):
-        s = np.zeros((len(v), len(k))) if s is None else s
-        s = s * w[None, :] + np.outer(v, k) + np.outer(s @ a, b)
-        return s, s @ r
-
-    return _recurrence(d, step, ["r", "w", "k", "v", "a", "b"])
+    return scans.scan(d, scans.Rotated())
 
 
 def gated_linear_attention(d: DataFrame, s: float) -> DataFrame:
     """Over (seq, pos, q, k, v, g): state = state g + k v; out = s * q state."""
-
-    def step(state, q, k, v, g):
-        state = np.zeros((len(k), len(v))) if state is None else state
-        state = state * g[:, None] + np.outer(k, v)
-        return state, s * (q @ state)
-
-    return _recurrence(d, step, ["q", "k", "v", "g"])
+    return scans.scan(d, scans.Decayed(["q", "k", "v", "g"], None, s))
 
 
 def map_custom(f: Callable[..., np.ndarray]):

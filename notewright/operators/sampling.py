@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
+
 EPS = 1e-9
 
 
@@ -49,8 +51,8 @@ def greedy(d: DataFrame) -> DataFrame:
 
 
 def top_k(d: DataFrame, k: int) -> DataFrame:
-    """The k best; no-op for k <= 0."""
-    return d if k <= 0 else _rank(d).filter(F.col("x_r") <= k).drop("x_r")
+    """The k best; no-op for k <= 0. Only the rows from the bucket of the k-th on are ranked, so a context may be of any size."""
+    return d if k <= 0 else _rank(selection.at_least_kth(d, "ctx", "logit", k)).filter(F.col("x_r") <= k).drop("x_r")
 
 
 def top_p(d: DataFrame, p: float, min_keep: int = 1) -> DataFrame:

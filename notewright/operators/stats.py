@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
 from .joins import running
 
 Z = 1.95996398454
@@ -55,13 +56,17 @@ def divergence_suite(d: DataFrame, by: list[str], base_nll: str, nll: str, kld:
     several = lambda x: F.when(F.count("*") > 1, x)
     enough = lambda x: F.when(F.count("*") >= least, x)
     top = F.col(same_top).cast("double")
-    points = F.percentile(k, F.array(*[F.lit(x) for x in KLD_POINTS.values()]))
+    found = selection.percentiles(d, by, kld, list(KLD_POINTS.values())).drop("n").withColumnsRenamed({c: f"x_{c}" for c in by})
     s = d.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(b).alias("base_mean"), F.avg(q).alias("mean"), F.avg(q - b).alias("ln_ratio"), several(error(q - b)).alias("ln_ratio_err"), F.corr(b, q).alias("correlation"),
-        F.avg(k).alias("kld_mean"), several(error(k)).alias("kld_err"), enough(F.max(k)).alias("kld_max"), enough(F.min(k)).alias("kld_min"), enough(points).alias("x_points"),
+        F.avg(k).alias("kld_mean"), several(error(k)).alias("kld_err"), enough(F.max(k)).alias("kld_max"), enough(F.min(k)).alias("kld_min"), enough(F.lit(True)).alias("x_enough"),
         F.avg(dp).alias("dp_mean"), several(error(dp)).alias("dp_err"), F.sqrt(F.avg(dp * dp)).alias("dp_rms"), F.avg(top).alias("same_top"), F.coalesce(several(error(top)), F.lit(0.0)).alias("same_top_err"),
     )
-    return s.select("*", *[F.get("x_points", F.lit(i)).alias(f"kld_{n}") for i, n in enumerate(KLD_POINTS)]).drop("x_points")
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"x_{c}"))
+    s = s.join(found, on, "left")
+    return s.select("*", *[F.when(F.col("x_enough"), F.get("points", F.lit(i))).alias(f"kld_{n}") for i, n in enumerate(KLD_POINTS)]).drop("points", "x_enough", *[f"x_{c}" for c in by])
 
 
 def running_accuracy(d: DataFrame, by: list[str], order: str, correct: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sampling as S
+from ..operators import selection
 from ..operators import stats as A
 from ..queries import query
 from ..session import table
@@ -76,8 +77,8 @@ def kld_suite(spark, d):
 
 @query("percentiles", "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.999), 6) AS p999 FROM events GROUP BY event_type")
 def percentiles(spark, d):
-    p = lambda q, n: R6(F.percentile("value", F.lit(q))).alias(n)
-    return table(spark, d, "events").groupBy("event_type").agg(p(0.05, "p05"), p(0.5, "p50"), p(0.999, "p999"))
+    p = selection.percentiles(table(spark, d, "events"), ["event_type"], "value", [0.05, 0.5, 0.999])
+    return p.select("event_type", *[R6(F.get("points", F.lit(i))).alias(n) for i, n in enumerate(("p05", "p50", "p999"))])
 
 
 @query("mean_and_uncertainty", """SELECT user_id, round(CASE WHEN count(*) >= 1 THEN sum(value) / count(*) ELSE 0 END, 6) AS mean,
@@ -120,7 +121,10 @@ def pass_ratio_pivot(spark, d):
 @query("tool_run_stats", "SELECT event_type, round(avg(CAST(value > 50 AS DOUBLE)), 6) AS success_ratio, round(avg(value), 6) AS avg_time, round(quantile_cont(value, 0.5), 6) AS median_time, CAST(count_if(value > 50) AS BIGINT) AS successes, count(DISTINCT CASE WHEN value <= 50 THEN user_id END) AS failing_users FROM events GROUP BY event_type")
 def tool_run_stats(spark, d):
     ok = F.col("value") > 50
-    return table(spark, d, "events").groupBy("event_type").agg(R6(F.avg(ok.cast("double"))).alias("success_ratio"), R6(F.avg("value")).alias("avg_time"), R6(F.percentile("value", F.lit(0.5))).alias("median_time"), F.count_if(ok).alias("successes"), F.countDistinct(F.when(~ok, F.col("user_id"))).alias("failing_users"))
+    e = table(spark, d, "events")
+    median = selection.percentiles(e, ["event_type"], "value", [0.5]).select(F.col("event_type").alias("m_type"), R6(F.get("points", F.lit(0))).alias("median_time"))
+    rates = e.groupBy("event_type").agg(R6(F.avg(ok.cast("double"))).alias("success_ratio"), R6(F.avg("value")).alias("avg_time"), F.count_if(ok).alias("successes"), F.countDistinct(F.when(~ok, F.col("user_id"))).alias("failing_users"))
+    return rates.join(median, F.col("event_type").eqNullSafe(F.col("m_type")), "left").drop("m_type")
 
 
 @query("newest_other_build", "SELECT o_orderpriority AS build FROM orders WHERE o_orderpriority NOT IN ('1-URGENT') ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")

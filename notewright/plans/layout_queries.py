@@ -163,11 +163,11 @@ def upscale_linear(spark, d):
 
 @query("window_partition", f"{PIXELS} SELECT vec_id, CAST(i // 4 AS INTEGER) AS wi, CAST(j // 4 AS INTEGER) AS wj, round(sum(v * (1 + i % 4) * (1 + j % 4)), 6) AS v FROM p GROUP BY 1, 2, 3")
 def window_partition(spark, d):
-    tiles = pixels(spark, d).withColumns({"wi": F.floor(F.col("i") / 4).cast("int"), "wj": F.floor(F.col("j") / 4).cast("int")})
-    back = T.win_unpart(T.win_part(pixels(spark, d), 4), 4)
-    assert set(back.columns) == {"i", "j", "v"}
-    w = F.col("v") * (1 + F.col("i") % 4) * (1 + F.col("j") % 4)
-    return tiles.groupBy("vec_id", "wi", "wj").agg(R6(F.sum(w)).alias("v"))
+    """Tiles keep their image's key; what is weighed by its place in the tile has gone there and back."""
+    tiles = T.win_part(pixels(spark, d), 4, ["vec_id"])
+    back = T.win_part(T.win_unpart(tiles, 4, ["vec_id"]), 4, ["vec_id"])
+    w = F.col("v") * (1 + F.col("i")) * (1 + F.col("j"))
+    return back.groupBy("vec_id", "wi", "wj").agg(R6(F.sum(w)).alias("v"))
 
 
 @query("timestep_embedding", "SELECT event_id, CAST(i AS INTEGER) AS idx, round(CASE WHEN i < 4 THEN cos((event_id % 1000) * exp(-ln(10000.0) * i / 4)) ELSE sin((event_id % 1000) * exp(-ln(10000.0) * (i - 4) / 4)) END, 6) AS v FROM events, unnest(range(0, 8)) AS t(i)")

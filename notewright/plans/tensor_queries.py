@@ -195,7 +195,28 @@ def adamw_step(spark, d):
     return _long(e, ("x", F.transform("s", lambda e: e["x"])), ("m", F.transform("s", lambda e: e["m"])), ("v", F.transform("s", lambda e: e["v"])))
 
 
-@query("recurrences")
+def _recurrence_sql(name: str, state: str, before: bool, out: str) -> str:
+    """A recursion over the rows of each label: 64 numbers of state, row by row. S is the old state, x a place of the new one from 0."""
+    start = "list_transform(range(0, 64), lambda x: 0.0::DOUBLE)"
+    row = lambda s: state.replace("$S", s)
+    read = lambda s, old: out.replace("$S", old if before else s).replace("$O", old)
+    return f"""{name} AS (SELECT e.seq, e.rn, e.pos, {start} AS old, {row(start)} AS st FROM r e WHERE rn = 1
+UNION ALL SELECT e.seq, e.rn, e.pos, {name}.st, {row(name + '.st')} FROM {name} JOIN r e ON e.seq = {name}.seq AND e.rn = {name}.rn + 1),
+{name}_out AS (SELECT '{name}' AS op, t.seq, t.pos, CAST(j AS INTEGER) AS idx, round({read('t.st', 't.old')}, 6) AS v FROM {name} t JOIN r e ON e.seq = t.seq AND e.rn = t.rn, unnest(range(0, 8)) AS u(j))"""
+
+
+_SOFT = "(CASE WHEN {0} <= 20 THEN ln(1 + exp({0})) ELSE {0} END)"
+_RECURRENCES = ",\n".join([
+    _recurrence_sql("wkv6", "list_transform(range(0, 64), lambda x: $S[x + 1] * e.w[x // 8 + 1] + e.k[x // 8 + 1] * e.v[x % 8 + 1])", True, "list_sum(list_transform(range(1, 9), lambda i: e.r[i] * (0.5 * e.k[i] * e.v[j + 1] + $S[(i - 1) * 8 + j + 1])))"),
+    _recurrence_sql("gla", "list_transform(range(0, 64), lambda x: $S[x + 1] * e.g[x // 8 + 1] + e.k[x // 8 + 1] * e.v[x % 8 + 1])", False, "0.5 * list_sum(list_transform(range(1, 9), lambda i: e.q[i] * $S[(i - 1) * 8 + j + 1]))"),
+    _recurrence_sql("wkv7", "list_transform(range(0, 64), lambda x: $S[x + 1] * e.w[x % 8 + 1] + e.v[x // 8 + 1] * e.k[x % 8 + 1] + list_dot_product($S[(x // 8) * 8 + 1:(x // 8) * 8 + 8], e.a) * e.b[x % 8 + 1])", False, "list_dot_product($S[j * 8 + 1:j * 8 + 8], e.r)"),
+    _recurrence_sql("ssm", f"list_transform(range(0, 64), lambda x: $S[x + 1] * exp(-{_SOFT.format('e.k[x // 8 + 1]')}) + e.v[x % 8 + 1] * e.r[x // 8 + 1] * {_SOFT.format('e.k[x // 8 + 1]')})", False, "list_dot_product($S[j * 8 + 1:j * 8 + 8], e.w)"),
+])
+
+
+@query("recurrences", f"""WITH RECURSIVE {E}, r AS (SELECT label AS seq, vec_id AS pos, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, {', '.join(f"a[{1 + 8 * i}:{8 + 8 * i}] AS {n}" for i, n in enumerate("rkvwqgab"))} FROM e),
+{_RECURRENCES}
+{' UNION ALL '.join(f"SELECT * FROM {n}_out" for n in ("wkv6", "gla", "wkv7", "ssm"))}""")
 def recurrences(spark, d):
     """The sequential operators along each label's vectors, all components: an eighth of them is one of the operators' inputs."""
     r = emb(spark, d).select(F.col("label").alias("seq"), F.col("vec_id").alias("pos"), *[F.slice("a", 1 + 8 * i, 8).alias(n) for i, n in enumerate("rkvwqgab")])
