@@ -96,7 +96,9 @@ def identify(rows: DataFrame, min_rows: int = 3, most_langs: int = 256, most_gra
             for text in b.column("text").to_pylist():
                 g = grams(text)
                 n.append(len(g))
-                ll.append(m[:, g].mean(1, dtype=np.float64) if len(g) else np.zeros(len(m)))
+                # A long text's trigrams are added up in pieces, so they take languages x GRAMS numbers at most.
+                pieces = (m[:, g[i : i + GRAMS]].sum(1, dtype=np.float64) for i in range(0, len(g), GRAMS))
+                ll.append(sum(pieces, np.zeros(len(m))) / max(len(g), 1))
             columns = [*[b.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(ll, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "n_grams", "ll"])
 
