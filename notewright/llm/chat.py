@@ -1,10 +1,11 @@
 """Chat formatting by quotation linking.
 
 A line's quote level is the number of ``>`` marks that open it. The lines of level 0, without attribution
-lines ("On ... wrote:"), are a message's own text. Quoted passages (runs of lines of one level) and their
-lines, and the own texts and their lines, are normalised (marks and outer white space off, lower case, inner
-white space single) and hashed. Each quoted passage or line points to the latest earlier message of the conversation that has it as its
-own. A message replies to the one that most of the characters it quotes at level 1 point to, else at the next level; the later one on
+lines ("On ... wrote:"), are a message's own text. A passage is a run of neighbouring lines of one level; blank lines end one of
+the own text (a paragraph), not a quoted one, which may hold several. Passages, their lines and their sentences, and whole own texts, are normalised
+(marks and outer white space off, lower case, inner white space single), so that a passage whose lines were wrapped anew is the same, and
+each is hashed. Each quoted unit points to the latest earlier message of the conversation that has it as its own.
+A message replies to the one that most of the characters it quotes at level 1 point to, else at the next level; the later one on
 ties. A thread's root is found by pointer doubling. A conversation is its threads by root, each in turn
 order, so that every message comes after the one it answers.
 
@@ -33,17 +34,41 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+#: Where a sentence ends.
+SENTENCE_END = r"(?<=[.!?])\s+"
+
+
+def _runs(lines: Column, same) -> Column:
+    """``lines`` (structs) as an array of runs: a run goes on while ``same(line, the one before)``."""
+    starts = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & same(x, F.get(lines, i - 1)), -1).otherwise(i)), lambda i: i >= 0)
+    return F.transform(starts, lambda at, j: F.slice(lines, at + 1, F.coalesce(F.get(starts, j + 1), F.size(lines)) - at))
+
+
+def _units(run: Column) -> Column:
+    """A passage (normalised lines of it joined), its lines and its sentences; blank ones are left out."""
+    whole = F.array_join(F.filter(run, lambda x: x != ""), " ")
+    return F.array_distinct(F.filter(F.concat(F.array(whole), run, F.split(whole, SENTENCE_END, -1)), lambda x: x != ""))
+
+
 def parse_quotes(messages: DataFrame) -> DataFrame:
-    """Adds own (text without quotes), own_lines and quoted: array of (level, passage), all normalised but own."""
+    """Adds own (text without quotes), own_units (of its paragraphs and of the whole), quoted (array of (level, units of a passage)) and n_quoted_lines."""
     lines = F.transform(
         F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n", -1),
         lambda x: F.struct(_level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("line"), (_level(x) == 0) & x.rlike(ATTRIBUTION) & F.col("text").contains(">")),
     )
     d = messages.withColumn("q_lines", F.filter(lines, lambda x: ~x["col3"]))
     own = F.transform(F.filter("q_lines", lambda x: x["level"] == 0), lambda x: x["line"])
-    d = d.withColumn("own", F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", "")).withColumn("own_lines", F.filter(F.transform(own, normal), lambda x: x != ""))
-    quoted = F.filter(F.transform(F.filter("q_lines", lambda x: x["level"] > 0), lambda x: F.struct(x["level"].alias("level"), normal(x["line"]).alias("line"))), lambda x: x["line"] != "")
-    return d.withColumn("quoted", quoted).drop("q_lines")
+    d = d.withColumn("own", F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", ""))
+    d = d.withColumn("q_lines", F.transform("q_lines", lambda x: F.struct(x["level"].alias("level"), normal(x["line"]).alias("line"))))
+    blank = lambda x: (x["level"] == 0) & (x["line"] == "")
+    d = d.withColumn("q_runs", _runs(F.col("q_lines"), lambda x, y: (x["level"] == y["level"]) & ~blank(x) & ~blank(y)))
+    texts = lambda run: F.transform(run, lambda x: x["line"])
+    level = lambda run: F.get(run, F.lit(0))["level"]
+    paragraphs = F.flatten(F.transform(F.filter("q_runs", lambda run: level(run) == 0), lambda run: _units(texts(run))))
+    d = d.withColumn("own_units", F.array_distinct(F.filter(F.concat(F.array(normal(F.col("own"))), paragraphs), lambda x: x != "")))
+    quoted = F.transform(F.filter("q_runs", lambda run: level(run) > 0), lambda run: F.struct(level(run).alias("level"), _units(texts(run)).alias("units")))
+    d = d.withColumn("quoted", F.filter(quoted, lambda x: F.size(x["units"]) > 0))
+    return d.withColumn("n_quoted_lines", F.size(F.filter("q_lines", lambda x: (x["level"] > 0) & (x["line"] != "")))).drop("q_lines", "q_runs")
 
 
 def _latest_holder(q: DataFrame, o: DataFrame, step: int) -> DataFrame:
@@ -70,13 +95,10 @@ def _links(msgs: DataFrame, step: int) -> DataFrame:
     """conv_id, turn, parent: for the messages whose quotes are found in an earlier one."""
     quoting = msgs.filter((F.size("quoted") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", "quoted")
     convs = quoting.select("conv_id").distinct()
-    whole = lambda level: F.array_join(F.transform(F.filter("quoted", lambda x: x["level"] == level), lambda x: x["line"]), " ")
-    levels = F.array_distinct(F.transform("quoted", lambda x: x["level"]))
-    q = quoting.select("conv_id", "turn", "quoted", F.explode(levels).alias("level"))
-    units = F.array_distinct(F.concat(F.array(whole(F.col("level"))), F.transform(F.filter("quoted", lambda x: x["level"] == F.col("level")), lambda x: x["line"])))
-    q = q.select("conv_id", F.col("turn").alias("q_turn"), "level", F.explode(units).alias("unit")).select("conv_id", "q_turn", "level", F.xxhash64("unit").alias("h"), F.md5("unit").alias("m"))
+    q = quoting.select("conv_id", F.col("turn").alias("q_turn"), F.inline("quoted")).select("conv_id", "q_turn", "level", F.explode("units").alias("unit"))
+    q = q.select("conv_id", "q_turn", "level", F.xxhash64("unit").alias("h"), F.md5("unit").alias("m"))
     o = msgs.filter(F.col("turn").isNotNull()).join(convs, "conv_id", "left_semi")
-    o = o.select("conv_id", F.col("turn").alias("o_turn"), F.explode(F.array_distinct(F.concat(F.array(F.array_join("own_lines", " ")), "own_lines"))).alias("unit")).filter("unit <> ''")
+    o = o.select("conv_id", F.col("turn").alias("o_turn"), F.explode("own_units").alias("unit"))
     o = o.select("conv_id", "o_turn", F.xxhash64("unit").alias("h"), F.md5("unit").alias("m"), F.length("unit").alias("n")).distinct()
     hit = _latest_holder(q.distinct(), o, step).groupBy("conv_id", "q_turn", "level", "o_turn").agg(F.sum("n").alias("n"))
     best = F.max(F.struct(-F.col("level"), F.col("n"), F.col("o_turn"))).alias("b")
@@ -103,7 +125,7 @@ def link_quotations(messages: DataFrame, step: int = 1000) -> DataFrame:
     """
     d = parse_quotes(messages.select("conv_id", "turn", "role", "text"))
     found = _roots(_links(d, step)).withColumnsRenamed({"conv_id": "r_conv", "turn": "r_turn"})
-    d = d.select("conv_id", "turn", "role", "own", F.size("quoted").alias("n_quoted_lines"))
+    d = d.select("conv_id", "turn", "role", "own", "n_quoted_lines")
     d = d.join(found, (F.col("conv_id") == F.col("r_conv")) & (F.col("turn") == F.col("r_turn")), "left")
     d = d.withColumn("thread_turn", F.coalesce("root", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)))
     d = d.select("conv_id", "turn", "role", "own", "parent", "thread_turn", "depth", "n_quoted_lines")

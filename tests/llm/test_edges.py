@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -168,30 +169,76 @@ def test_language_evidence_by_brute_force(spark):
         assert got[i]["confidence"] == pytest.approx(1 / np.exp(fused - fused.max()).sum(), abs=2e-4)
 
 
+def passages(text):
+    """(level, lines) of each run of neighbouring lines of one level, by a walk over the lines; a blank unquoted line is no passage."""
+    out, last = [], None
+    for raw in (text or "").split("\n"):
+        level, line = 0, raw
+        while line.lstrip(" \t").startswith(">"):
+            level, line = level + 1, line.lstrip(" \t")[1:]
+        line = " ".join(line.lower().split())
+        if level == 0 and not line:
+            last = None
+            continue
+        if level != last:
+            out.append((level, []))
+        out[-1][1].append(line)
+        last = level
+    return out
+
+
+def units(lines):
+    whole = " ".join(x for x in lines if x)
+    sentences, at = [], 0
+    for i, c in enumerate(whole):
+        if c in ".!?" and whole[i + 1 : i + 2] == " ":
+            sentences.append(whole[at : i + 1])
+            at = i + 2
+    return {whole, *lines, *sentences, whole[at:]} - {""}
+
+
 def test_quotations_by_brute_force(spark):
     r = random.Random(25)
-    pool = ["Good morning.", "How is the river today?", "It rose again.", "I see.", "Stones and more stones."]
+    pool = ["Good morning.", "How is the river today?", "It rose again.", "I see.", "Stones and more stones.", "The bridge is shut! Go round by the mill.", ""]
+    wrap = lambda text, mark: "\n".join(f"{mark}{x}" for x in textwrap.wrap(text, r.choice([9, 20, 60])))
     rows = []
     for c in range(4):
         past = []
-        for t in range(14):
-            own = [r.choice(pool) for _ in range(r.randrange(3))] + [f"line {c} {t}"] * (r.random() < 0.6)
-            quoted = [f"> {r.choice(past)}" for _ in range(r.randrange(3))] if past else []
-            past += own
-            rows.append((c, t, "user", "\n".join([*quoted, *own])))
+        for t in range(16):
+            own = [" ".join(r.choice(pool) for _ in range(r.randrange(1, 4))) + (f" Line {c} {t}." if r.random() < 0.6 else "") for _ in range(r.randrange(3))]
+            text = []
+            for _ in range(r.randrange(4) if past else 0):  # passages wrapped anew, between words of one's own
+                text.append(wrap(r.choice(past), r.choice(["> ", ">", "> > ", ">>"])))
+                text.append(r.choice(["", "I agree.", "> ", "Not so!"]))
+            text += ["\n\n".join(wrap(x, "") for x in own)]
+            past += [x for x in own if x.strip()]
+            rows.append((c, t, "user", "\n".join(text)))
     got = {(x["conv_id"], x["turn"]): x["parent_turn"] for x in chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), step=3).collect()}
-    norm = lambda s: " ".join(s.lower().split())
+    linked = 0
     for c, t, _, text in rows:
-        quote = [norm(x[1:]) for x in text.split("\n") if x.startswith(">")]
         score = collections.Counter()
-        for unit in {*quote, " ".join(quote)} - {""}:
+        for level, unit in {(level, u) for level, lines in passages(text) if level for u in units(lines)}:
             for c2, t2, _, text2 in reversed([x for x in rows if x[0] == c and x[1] < t]):
-                own = [norm(x) for x in text2.split("\n") if not x.startswith(">") and x]
-                if unit in {*own, " ".join(own)}:
-                    score[t2] += len(unit)
+                own = [lines for level2, lines in passages(text2) if level2 == 0]
+                if unit in {u for lines in own for u in units(lines)} | {" ".join(x for lines in own for x in lines)}:
+                    score[level, t2] += len(unit)
                     break
-        want = max(score, key=lambda k: (score[k], k)) if score else None
+        want = max(score, key=lambda k: (-k[0], score[k], k[1]))[1] if score else None
         assert got[c, t] == want
+        linked += want is not None
+    assert linked > 20
+
+
+def test_passages_between_own_words_link(spark):
+    """Two passages, wrapped anew, with the reply's own words between them; a very long thread; ties go to the later message."""
+    first = "The river rises in the hills and runs past four mills.\n\nBelow the last of them it is deep and slow, and boats go up from the sea."
+    reply = "> The river rises in the hills\n> and runs past four mills.\nYes, it does.\n> Below the last of them it is deep and\n> slow, and boats go up from the sea.\nNot any more."
+    rows = [(1, 0, "user", first), (1, 1, "assistant", "Other words."), (1, 2, "user", reply), (2, 0, "user", "Same words."), (2, 1, "user", "Same words."), (2, 2, "user", "> same  WORDS.")]
+    rows += [(3, t, "user", (f"> word {t - 1}\n" if t else "") + f"word {t}") for t in range(600)] + [(4, 0, "user", "long word " * 60_000), (4, 1, "user", "> " + "long word " * 60_000)]
+    got = {(x["conv_id"], x["turn"]): x for x in chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 2]["parent_turn"] == 0 and got[1, 2]["n_quoted_lines"] == 4 and got[1, 2]["text"] == "Yes, it does.\nNot any more."
+    assert got[2, 2]["parent_turn"] == 1 and got[4, 1]["parent_turn"] == 0
+    assert all(got[3, t]["parent_turn"] == t - 1 and got[3, t]["depth"] == t for t in range(1, 600))
 
 
 def test_very_long_texts(spark):
