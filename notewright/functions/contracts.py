@@ -5,6 +5,10 @@ An answer that breaks its contract gives null columns and ``valid`` false. Value
 
 from __future__ import annotations
 
+import json
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,48 +131,99 @@ def render_chat(messages: DataFrame, template: str, by: str = "conv_id", order:
     return g.withColumn("prompt", F.concat("prompt", F.lit(TEMPLATES[template][1]))) if add_assistant else g
 
 
-def schema_to_checks(schema: dict, value: Column) -> Column:
-    """Whether a JSON text holds what a (non-recursive) JSON schema asks: types, enum, const, required, ranges, lengths, items."""
-
-    def check(s: dict, path: str) -> Column:
-        v = F.get_json_object(value, path)
-        out = F.lit(True)
-        if "enum" in s:
-            out = out & v.isin([str(x) for x in s["enum"]])
+def _resolved(s, root: dict, seen: tuple = ()):
+    """A schema with its references put in; one that leads back to itself has no finite check."""
+    if not isinstance(s, dict):
+        return s
+    if "$ref" in s:
+        ref = s["$ref"]
+        if ref in seen or ref == "#":
+            raise ValueError(f"recursive reference {ref!r}")
+        at = root
+        for part in ref.removeprefix("#").strip("/").split("/"):
+            at = at[part]
+        rest = {k: v for k, v in s.items() if k != "$ref"}
+        one = _resolved(at, root, (*seen, ref))
+        return {"allOf": [one, _resolved(rest, root, seen)]} if rest else one
+    return {
+        k: {n: _resolved(x, root, seen) for n, x in v.items()} if k == "properties" else [_resolved(x, root, seen) for x in v] if k in ("anyOf", "oneOf", "allOf", "prefixItems")
+        else _resolved(v, root, seen) if k in ("items", "additionalProperties", "not") else v
+        for k, v in s.items()
+    }
+
+
+#: What schema_of_variant calls the values of a JSON type.
+_KINDS = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING", "boolean": "^BOOLEAN", "null": "^VOID", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"}
+
+
+def schema_to_checks(schema: dict | bool, value: Column) -> Column:
+    """Whether a JSON text meets a JSON schema, natively: the text becomes a variant, items and properties are checked by ``forall``.
+
+    Known: type (one or several), const, enum, anyOf, oneOf (exactly one form), allOf, not, $ref within the schema (recursive ones are a ValueError), ranges, multipleOf,
+    lengths, pattern, properties, required, additionalProperties, items, prefixItems, minItems, maxItems. Other keys are ignored. A whole number is an integer however it is
+    written. A null text and one that isn't JSON meet no schema.
+    """
+
+    def same(v: Column, kind: Column, x) -> Column:
+        if isinstance(x, bool) or x is None or isinstance(x, str):
+            held = {bool: "boolean", str: "string"}.get(type(x))
+            return kind.rlike(_KINDS[held or "null"]) & (F.lit(True) if held is None else F.coalesce(F.try_variant_get(v, "$", held) == x, F.lit(False)))
+        if isinstance(x, (int, float)):
+            return kind.rlike(_KINDS["number"]) & F.coalesce(F.try_variant_get(v, "$", "double") == float(x), F.lit(False))
+        return F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(x))))
+
+    def check(s, v: Column) -> Column:
+        if isinstance(s, bool):
+            return F.lit(s)
+        kind = F.schema_of_variant(v)
+        is_ = lambda k: kind.rlike(_KINDS[k])
+        number = F.try_variant_get(v, "$", "double")
+        parts: list[Column] = []
+
+        def of(k: str, *tests: Column) -> None:
+            """The tests hold if the value is of this type."""
+            for t in tests:
+                parts.append(~is_(k) | F.coalesce(t, F.lit(False)))
+
+        if "type" in s:
+            kinds = [s["type"]] if isinstance(s["type"], str) else s["type"]
+            typed = lambda k: is_("number") & (number == F.floor(number)) if k == "integer" else is_(k)
+            parts.append(reduce(operator.or_, map(typed, kinds)))
         if "const" in s:
-            out = out & (v == str(s["const"]))
-        kind = s.get("type")
-        if kind in ("integer", "number"):
-            n = v.try_cast("double")
-            out = out & n.isNotNull() & ((n == F.floor(n)) if kind == "integer" else F.lit(True))
-            for k, f in (("minimum", lambda a, b: a >= b), ("maximum", lambda a, b: a <= b), ("exclusiveMinimum", lambda a, b: a > b), ("exclusiveMaximum", lambda a, b: a < b)):
-                if k in s:
-                    out = out & f(n, F.lit(float(s[k])))
-        if kind == "boolean":
-            out = out & v.isin("true", "false")
-        if kind == "string":
-            out = out & v.isNotNull()
-            if "minLength" in s:
-                out = out & (F.length(v) >= s["minLength"])
-            if "maxLength" in s:
-                out = out & (F.length(v) <= s["maxLength"])
-            if "pattern" in s:
-                out = out & v.rlike(s["pattern"])
-        if kind == "object" or "properties" in s:
-            for name, sub in s.get("properties", {}).items():
-                inner = check(sub, f"{path}.{name}")
-                there = F.get_json_object(value, f"{path}.{name}").isNotNull()
-                out = out & (inner if name in s.get("required", []) else (~there | inner))
-            for name in s.get("required", []):
-                out = out & F.get_json_object(value, f"{path}.{name}").isNotNull()
-        if kind == "array":
-            n = F.json_array_length(v)
-            out = out & n.isNotNull() & (n >= s.get("minItems", 0)) & (n <= s.get("maxItems", 2**31 - 1))
-        if "anyOf" in s or "oneOf" in s:
-            some = F.lit(False)
-            for sub in s.get("anyOf", s.get("oneOf")):
-                some = some | check(sub, path)
-            out = out & some
-        return F.coalesce(out, F.lit(False))
-
-    return check(schema, "$")
+            parts.append(same(v, kind, s["const"]))
+        if "enum" in s:
+            parts.append(reduce(operator.or_, [same(v, kind, x) for x in s["enum"]], F.lit(False)))
+        if "anyOf" in s:
+            parts.append(reduce(operator.or_, [check(x, v) for x in s["anyOf"]], F.lit(False)))
+        if "oneOf" in s:
+            parts.append(reduce(operator.add, [check(x, v).cast("int") for x in s["oneOf"]], F.lit(0)) == 1)
+        parts += [check(x, v) for x in s.get("allOf", [])]
+        if "not" in s:
+            parts.append(~check(s["not"], v))
+        for k, f in (("minimum", operator.ge), ("maximum", operator.le), ("exclusiveMinimum", operator.gt), ("exclusiveMaximum", operator.lt)):
+            if k in s:
+                of("number", f(number, F.lit(float(s[k]))))
+        if "multipleOf" in s:
+            of("number", number / float(s["multipleOf"]) == F.floor(number / float(s["multipleOf"])))
+        text = F.try_variant_get(v, "$", "string")
+        for k, f in (("minLength", lambda n: F.length(text) >= n), ("maxLength", lambda n: F.length(text) <= n), ("pattern", text.rlike)):
+            if k in s:
+                of("string", f(s[k]))
+        if {"items", "prefixItems", "minItems", "maxItems"} & s.keys():
+            held, first = F.try_variant_get(v, "$", "array<variant>"), s.get("prefixItems", [])
+            of("array", F.size(held) >= s.get("minItems", 0), F.size(held) <= s.get("maxItems", 2**31 - 1))
+            of("array", *[(F.size(held) <= i) | check(x, F.get(held, F.lit(i))) for i, x in enumerate(first)])
+            if "items" in s:
+                of("array", F.forall(F.slice(held, len(first) + 1, F.greatest(F.size(held) - len(first), F.lit(0))), lambda x: check(s["items"], x)))
+        if {"properties", "required", "additionalProperties"} & s.keys():
+            held, known = F.try_variant_get(v, "$", "map<string,variant>"), s.get("properties", {})
+            of("object", *[F.map_contains_key(held, name) for name in s.get("required", [])])
+            of("object", *[~F.map_contains_key(held, name) | check(x, F.element_at(held, F.lit(name))) for name, x in known.items()])
+            extra = s.get("additionalProperties", True)
+            if extra is not True:
+                others = F.map_filter(held, lambda k, x: ~k.isin(*known)) if known else held
+                of("object", F.size(others) == 0 if extra is False else F.forall(F.map_values(others), lambda x: check(extra, x)))
+        return F.coalesce(reduce(operator.and_, parts, F.lit(True)), F.lit(False))
+
+    v = F.try_parse_json(value)
+    return v.isNotNull() & check(_resolved(schema, schema if isinstance(schema, dict) else {}), v)

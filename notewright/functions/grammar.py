@@ -476,7 +476,7 @@ def schema_grammar(schema: dict) -> str:
     """Rules for the JSON texts of a schema: $ref, oneOf, anyOf, allOf, const, enum, objects, arrays, string lengths, integer ranges.
 
     Properties come in the schema's order. ``oneOf`` takes any of its forms, as a grammar can't exclude the texts that two of them share;
-    ``schema_check`` counts the forms that hold.
+    ``contracts.schema_to_checks`` counts the forms that hold.
     """
     s = _Schema(schema)
     root = s.visit(schema, "root")
@@ -619,60 +619,3 @@ def _class_item(op, av) -> str:
     if op is K.CATEGORY:
         return {K.CATEGORY_DIGIT: r"\d", K.CATEGORY_NOT_DIGIT: r"\D", K.CATEGORY_SPACE: r"\s", K.CATEGORY_NOT_SPACE: r"\S", K.CATEGORY_WORD: r"\w", K.CATEGORY_NOT_WORD: r"\W"}[av]
     return re.escape(chr(av))
-
-
-def schema_check(d: DataFrame, text: str, schema: dict, keep: list[str]) -> DataFrame:
-    """``keep`` and ok: whether the text is JSON of the schema, oneOf counted exactly, whatever the order of properties."""
-
-    def make() -> Callable:
-        def ok(t: str | None) -> bool:
-            try:
-                return t is not None and holds(json.loads(t), schema, schema)
-            except ValueError:
-                return False
-
-        return ok
-
-    return _per_text(d, text, keep, "ok boolean", pa.bool_(), make)
-
-
-#: Types of JSON values; a bool is no number.
-TYPES: dict[str, Callable] = {
-    "object": lambda x: isinstance(x, dict), "array": lambda x: isinstance(x, list), "string": lambda x: isinstance(x, str), "boolean": lambda x: isinstance(x, bool),
-    "null": lambda x: x is None, "number": lambda x: isinstance(x, (int, float)) and not isinstance(x, bool), "integer": lambda x: isinstance(x, int) and not isinstance(x, bool),
-}
-
-
-def holds(x, s, root: dict) -> bool:
-    """Whether a JSON value meets a schema."""
-    if s is True or s is False:
-        return s
-    if "$ref" in s:
-        at = root
-        for part in s["$ref"].removeprefix("#").strip("/").split("/") if s["$ref"] != "#" else []:
-            at = at[part]
-        if not holds(x, at, root):
-            return False
-    same = lambda a, b: a == b and isinstance(a, bool) == isinstance(b, bool)
-    kinds = s.get("type", [])
-    checks = [
-        not kinds or any(TYPES[k](x) for k in ([kinds] if isinstance(kinds, str) else kinds)),
-        "const" not in s or same(x, s["const"]),
-        "enum" not in s or any(same(x, e) for e in s["enum"]),
-        "anyOf" not in s or any(holds(x, o, root) for o in s["anyOf"]),
-        "oneOf" not in s or sum(holds(x, o, root) for o in s["oneOf"]) == 1,
-        all(holds(x, o, root) for o in s.get("allOf", [])),
-    ]
-    if isinstance(x, str):
-        checks += [s.get("minLength", 0) <= len(x) <= s.get("maxLength", len(x)), "pattern" not in s or bool(re.search(s["pattern"], x))]
-    if isinstance(x, (int, float)) and not isinstance(x, bool):
-        checks += [x >= s.get("minimum", x), x <= s.get("maximum", x), x > s.get("exclusiveMinimum", x - 1), x < s.get("exclusiveMaximum", x + 1)]
-    if isinstance(x, list):
-        first = s.get("prefixItems", [])
-        checks += [s.get("minItems", 0) <= len(x) <= s.get("maxItems", len(x))]
-        checks += [holds(v, p, root) for v, p in zip(x, first, strict=False)] + [holds(v, s["items"], root) for v in x[len(first) :] if "items" in s]
-    if isinstance(x, dict):
-        props, extra = s.get("properties", {}), s.get("additionalProperties", True)
-        checks += [set(s.get("required", [])) <= x.keys()]
-        checks += [holds(v, props[k] if k in props else extra, root) for k, v in x.items()]
-    return all(checks)

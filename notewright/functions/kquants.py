@@ -172,11 +172,24 @@ def encode(d: DataFrame, column: str, kind: str, keep: list[str]) -> DataFrame:
     return _mapped(d, column, keep, "blocks binary", pa.binary(), f)
 
 
+#: Rules up to which they become one expression.
+FEW_RULES = 1_000
+
+
 def choose_types(tensors: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """Adds type to (name, ...): that of the first rule (priority, pattern, type) whose pattern is found in the name."""
-    hit = tensors.join(F.broadcast(rules), F.expr("regexp(name, pattern)"), "left") if rules.limit(10_001).count() <= 10_000 else tensors.join(rules, F.expr("regexp(name, pattern)"), "left")
-    first = hit.groupBy(*tensors.columns).agg(F.min_by("type", "priority").alias("x_t"))
-    return first.select(*tensors.columns, F.coalesce("x_t", F.lit(default)).alias("type"))
+    """Adds type to (name, ...): that of the first rule (priority, pattern, type) whose pattern is found in the name.
+
+    A few rules are one expression. More are joined to the different names, so repeated rows stay as they are.
+    """
+    few = rules.select("priority", "pattern", "type").orderBy("priority").limit(FEW_RULES + 1).collect()
+    if len(few) <= FEW_RULES:
+        kind = F.lit(default)
+        for r in reversed(few):
+            kind = F.when(F.col("name").rlike(r["pattern"]), F.lit(r["type"])).otherwise(kind)
+        return tensors.withColumn("type", kind)
+    hit = tensors.select(F.col("name").alias("x_name")).distinct().join(rules, F.expr("regexp(x_name, pattern)"))
+    first = hit.groupBy("x_name").agg(F.min_by("type", "priority").alias("x_t"))
+    return tensors.join(first, F.col("name") == F.col("x_name"), "left").select(*tensors.columns, F.coalesce("x_t", F.lit(default)).alias("type"))
 
 
 def merge_low_rank(base: DataFrame, a: DataFrame, b: DataFrame, scale: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sampling as S
-from ..operators import selection
+from ..operators import rowwise, selection
 from ..operators import stats as A
 from ..queries import query
 from ..session import table
@@ -168,6 +168,7 @@ _sampler("sampler_xtc", f"""WITH {_P}, a AS (SELECT *, sum(CAST(p >= 0.02 AS INT
 WHERE NOT ({_U.format(seed='xtc')} <= 0.5 AND a > 1) OR r >= a""", lambda c: S.xtc(c, 0.5, 0.02))
 _sampler("sampler_dist", f"""WITH {_P}, u AS (SELECT *, {_U.format(seed='dist')} AS u, max(cum + p) OVER (PARTITION BY ctx) AS l FROM q), f AS (SELECT * FROM u WHERE cum + p > least(u, l - 1e-9) QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY r) = 1) {_AFTER} f""", lambda c: S.dist(c, "dist"))
 _sampler("sampler_chain", f"WITH {_P}, k AS (SELECT ctx, id, logit / 0.8 AS logit FROM q WHERE r <= 20 AND logit >= (SELECT max(logit) FROM c c2 WHERE c2.ctx = q.ctx) + ln(0.3)) {_AFTER} k", lambda c: S.chain(c, lambda x: S.top_k(x, 20), lambda x: S.min_p(x, 0.3), lambda x: S.temperature(x, 0.8)))
+_sampler("sampler_chain_rows", f"WITH {_P}, k AS (SELECT ctx, id, logit / 0.8 AS logit FROM q WHERE r <= 20 AND logit >= (SELECT max(logit) FROM c c2 WHERE c2.ctx = q.ctx) + ln(0.3)) {_AFTER} k", lambda c: rowwise.sample(c, ("top_k", 20), ("min_p", 0.3), ("temperature", 0.8)))
 
 
 @query("sampler_penalties", f"""WITH {_C}, h AS (SELECT user_id AS ctx, event_id % 50 AS tok, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events),

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from ..functions import contracts
 from ..functions import grammar as G
 from ..functions import kquants as K
 from ..functions import media as M
@@ -94,7 +95,7 @@ def detokenize(spark, d):
     return Z.detokenize(x.join(t, "piece").select("p_partkey", "pos", "id"), t, "p_partkey")
 
 
-@query("prefix_pairs", "WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents), p AS (SELECT w FROM w WHERE length(w) BETWEEN 1 AND 12), c AS (SELECT w AS b, unnest(list_transform(range(1, length(w)), lambda k: w[1:k])) AS a FROM p) SELECT a AS a_id, b AS b_id FROM c JOIN p ON p.w = a")
+@query("prefix_pairs", "WITH w AS MATERIALIZED (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents), p AS MATERIALIZED (SELECT w FROM w WHERE length(w) BETWEEN 1 AND 12), c AS (SELECT w AS b, w[1:k] AS a FROM p, unnest(range(1, length(w))) AS t(k)) SELECT a AS a_id, b AS b_id FROM c JOIN p ON p.w = a")
 def prefix_pairs(spark, d):
     w = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("piece")).distinct().filter(F.length("piece").between(1, 12))
     return Z.prefix_pairs(w.select(F.col("piece").alias("id"), "piece"))
@@ -127,7 +128,7 @@ def schema_one_of(spark, d):
     k = lambda s: {"type": "object", "properties": {"k": s}}
     thirds = [x for x in range(20, 201) if x % 3 == 0]
     schema = {"allOf": [{"$ref": "#/$defs/base"}], "oneOf": [k({"maximum": 39}), k({"enum": thirds})], "$defs": {"base": {"type": "object", "required": ["k"], "additionalProperties": False, "properties": {"k": {"type": "integer"}}}}}
-    return G.schema_check(table(spark, d, "events"), "props", schema, ["event_id"])
+    return table(spark, d, "events").select("event_id", contracts.schema_to_checks(schema, F.col("props")).alias("ok"))
 
 
 @query("healed_json", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{}' WHEN 1 THEN '{"k": null}' WHEN 2 THEN '{"k": null}' ELSE props END AS healed FROM events""")
@@ -351,9 +352,8 @@ def quantise_rules(spark, d):
     return K.choose_types(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name")), rules, "q4_k")
 
 
-@query("low_rank_merge", f"""WITH {E}, m AS (SELECT vec_id AS name, CAST(n // 8 AS INTEGER) AS i, CAST(n % 8 AS INTEGER) AS j, a[n + 1] AS v FROM e, unnest(range(0, 64)) AS t(n))
-SELECT x.name, x.i, x.j, round(x.v + CASE WHEN x.name % 2 = 0 THEN 0.5 * (l.v * r.v + l2.v * r2.v) ELSE 0 END, 6) AS v FROM m x JOIN m l ON l.name = x.name AND l.i = x.i AND l.j = 0 JOIN m r ON r.name = x.name AND r.i = 0 AND r.j = x.j
-JOIN m l2 ON l2.name = x.name AND l2.i = x.i AND l2.j = 1 JOIN m r2 ON r2.name = x.name AND r2.i = 1 AND r2.j = x.j""")
+@query("low_rank_merge", f"""WITH {E} SELECT vec_id AS name, CAST(n // 8 AS INTEGER) AS i, CAST(n % 8 AS INTEGER) AS j, round(a[n + 1] + CASE WHEN vec_id % 2 = 0 THEN 0.5 * (a[(n // 8) * 8 + 1] * a[n % 8 + 1] + a[(n // 8) * 8 + 2] * a[n % 8 + 9]) ELSE 0 END, 6) AS v
+FROM e, unnest(range(0, 64)) AS t(n)""")
 def low_rank_merge(spark, d):
     from ..functions.layout import grid
 

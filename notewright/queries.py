@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from .plans import eval_queries, layout_queries, note_queries, tensor_queries, text_queries, tool_queries  # noqa: F401
+    from .plans import eval_queries, layout_queries, note_queries, source_queries, tensor_queries, text_queries, tool_queries  # noqa: F401
 
 
 load()

@@ -14,6 +14,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from notewright.functions import contracts
 from notewright.functions import grammar as G
 from notewright.functions import kquants as K
 from notewright.functions import media as M
@@ -142,15 +143,44 @@ SCHEMA = {
 ])
 def test_schemas_agree(text, ok):
     assert G.Matcher(G.parse(G.schema_grammar(SCHEMA))).accepts(text) == ok
-    assert G.holds(json.loads(text), SCHEMA, SCHEMA) == ok
 
 
-def test_one_of_counts_exactly():
-    s = {"oneOf": [{"type": "integer"}, {"type": "number", "minimum": 5}]}
-    assert [G.holds(x, s, s) for x in (3, 7, 7.5, 2.5)] == [True, False, True, False]
-    s = {"allOf": [{"properties": {"a": {"type": "string"}}}, {"required": ["a"]}]}
-    assert [G.holds(x, s, s) for x in ({"a": "x"}, {"a": 1}, {})] == [True, False, False]
-    assert G.holds([1, "x", 2], {"prefixItems": [{"type": "integer"}, {"type": "string"}], "items": {"type": "integer"}}, {})
+CHECKS = [
+    (SCHEMA, [('{"a": 7}', True), ('{"a": 121}', False), ('{"a":-5, "b": ["x","y"], "c":"hey"}', True), ('{"a":1,"c":"h"}', False), ('{"b":["x"]}', False), ('{"a":120,"b":[]}', False), ('{"a":1,"b":["x","z"]}', False),
+              ('{"a":1,"d":null}', True), ('{"a":1,"d":2}', False), ('{"a":1,"z":2}', False), ("[]", False), ("{", False), (None, False), ('{"a":1.0}', True), ('{"a":1.5}', False), ('{"a":"1"}', False)]),
+    ({"oneOf": [{"type": "integer"}, {"type": "number", "minimum": 5}]}, [("3", True), ("7", False), ("7.5", True), ("2.5", False), ('"x"', False)]),
+    ({"allOf": [{"properties": {"a": {"type": "string"}}}, {"required": ["a"]}]}, [('{"a":"x"}', True), ('{"a":1}', False), ("{}", False), ("5", True), ('{"a":null}', False)]),
+    ({"prefixItems": [{"type": "integer"}, {"type": "string"}], "items": {"type": "integer"}}, [('[1,"x",2]', True), ('[1,"x","y"]', False), ("[1]", True), ('["x"]', False), ("{}", True), ("[]", True)]),
+    ({"type": "array", "items": {"type": "array", "items": {"type": "object", "properties": {"k": {"enum": [1, "one", None, [1, 2]]}}, "required": ["k"]}}}, [('[[{"k":1}],[{"k":"one"},{"k":null}]]', True), ('[[{"k":1.0}]]', True), ('[[{"k":2}]]', False), ('[[{}]]', False), ("[[1]]", False), ("[[]]", True), ('[[{"k":[1,2]}]]', True)]),
+    ({"type": "object", "additionalProperties": {"type": ["string", "null"], "pattern": "^x", "maxLength": 3}, "properties": {"n": {"not": {"type": "boolean"}}}}, [('{"q":"xy","n":1}', True), ('{"q":"yx"}', False), ('{"q":null}', True), ('{"q":"xxxx"}', False), ('{"n":true}', False), ("{}", True)]),
+    ({"anyOf": [{"const": True}, {"type": "number", "exclusiveMinimum": 0, "multipleOf": 0.5}, {"const": {"b": 1, "a": [2]}}]}, [("true", True), ("false", False), ("1.5", True), ("0", False), ("1.2", False), ('{"a":[2],"b":1}', True), ('{"a":[2]}', False)]),
+    (True, [("1", True), ("nope", False), ("null", True)]), (False, [("1", False)]), ({}, [('{"any": 1}', True)]),
+]
+
+
+@pytest.mark.parametrize("no", range(len(CHECKS)))
+def test_schemas_are_checked_natively(spark, no):
+    schema, cases = CHECKS[no]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r["i"]: r["ok"] for r in d.select("i", contracts.schema_to_checks(schema, F.col("t")).alias("ok")).collect()}
+    assert [got[i] for i in range(len(cases))] == [ok for _, ok in cases]
+
+
+def test_recursive_schemas_are_refused():
+    s = {"$defs": {"t": {"properties": {"next": {"$ref": "#/$defs/t"}}}}, "$ref": "#/$defs/t"}
+    with pytest.raises(ValueError, match="recursive"):
+        contracts.schema_to_checks(s, F.col("t"))
+
+
+def test_types_of_tensors_keep_repeated_rows(spark, monkeypatch):
+    from notewright.functions import kquants
+
+    t = spark.createDataFrame([("blk.0.attn", 1), ("blk.0.attn", 1), ("out", 2), (None, 3)], "name string, n int")
+    rules = spark.createDataFrame([(2, "attn", "q6"), (1, "^blk", "q5"), (3, "^out$", "f16")], "priority int, pattern string, type string")
+    for few in (1_000, 0):
+        monkeypatch.setattr(kquants, "FEW_RULES", few)
+        got = sorted(((r["name"], r["n"], r["type"]) for r in kquants.choose_types(t, rules, "q4").collect()), key=str)
+        assert got == [("blk.0.attn", 1, "q5"), ("blk.0.attn", 1, "q5"), ("out", 2, "f16"), (None, 3, "q4")]
 
 
 def test_healing_every_cut():
