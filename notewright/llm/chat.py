@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, store
+from .common import discard, let, store
 
 MARKS = r"^[\x20\x09]*(?:>[\x20\x09]?)+"
 ATTRIBUTION = r"(?i)^[\x20\x09]*(on\b.*\bwrote|le\b.*\bécrit|am\b.*\bschrieb.*|el\b.*\bescribió)[\x20\x09]*:[\x20\x09]*$"
@@ -40,14 +40,20 @@ SENTENCE_END = r"(?<=[.!?])\s+"
 
 def _runs(lines: Column, same) -> Column:
     """``lines`` (structs) as an array of runs: a run goes on while ``same(line, the one before)``."""
-    starts = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & same(x, F.get(lines, i - 1)), -1).otherwise(i)), lambda i: i >= 0)
-    return F.transform(starts, lambda at, j: F.slice(lines, at + 1, F.coalesce(F.get(starts, j + 1), F.size(lines)) - at))
+
+    def cut(x: Column) -> Column:
+        pairs = F.zip_with(x, F.concat(F.array(F.lit(None)), F.slice(x, 1, F.size(x) - 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        at = F.filter(F.transform(pairs, lambda p, i: F.when(p["b"].isNotNull() & same(p["a"], p["b"]), -1).otherwise(i)), lambda i: i >= 0)
+        ends = lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(x))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.transform(let(at, ends), lambda r: F.slice(x, r["a"] + 1, r["b"] - r["a"]))
+
+    return F.when(F.size(lines) > 0, let(lines, cut)).otherwise(F.slice(F.array(lines), 1, 0))
 
 
 def _units(run: Column) -> Column:
-    """A passage (normalised lines of it joined), its lines and its sentences; blank ones are left out."""
-    whole = F.array_join(F.filter(run, lambda x: x != ""), " ")
-    return F.array_distinct(F.filter(F.concat(F.array(whole), run, F.split(whole, SENTENCE_END, -1)), lambda x: x != ""))
+    """A passage (its normalised lines, joined), its lines and its sentences; blank ones are left out."""
+    shown = F.filter(run, lambda x: x != "")
+    return let(shown, lambda r: F.array_distinct(F.filter(F.concat(F.array(F.array_join(r, " ")), r, F.split(F.array_join(r, " "), SENTENCE_END, -1)), lambda x: x != "")))
 
 
 def parse_quotes(messages: DataFrame) -> DataFrame:

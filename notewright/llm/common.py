@@ -25,6 +25,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, also where f's lambdas use it for every element of another array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast ``df`` if a count shows at most ``rows`` rows; beyond that a shuffle join does the same work.
 
