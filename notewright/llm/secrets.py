@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import let, words
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -31,16 +31,55 @@ STATES = len(ALPHABET) + 1
 MASK = "[SECRET]"
 
 
+#: Least elements of a block of ``_running``, and code points of a block of text in ``redact``.
+BLOCK, TEXT_BLOCK = 64, 4096
+
+
+def _fold(x: Column, first: Column, op) -> Column:
+    zero = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, v):
+        at = op(acc["at"], v)
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    return F.aggregate(x, zero, step, lambda acc: acc["out"])
+
+
+def _running(x: Column, op) -> Column:
+    """op (addition, greatest) over the elements so far of an array of counts, for each element.
+
+    Blocks of about the root of the size are folded by themselves, behind the totals of those before them: appending copies what is there, and
+    a slice reads its whole array, so either alone takes the square of the size.
+    """
+    width = lambda a: F.greatest(F.ceil(F.sqrt(F.size(a))), F.lit(BLOCK)).cast("int")
+    block = lambda a, b: F.slice(a, b * width(a) + 1, width(a))
+    blocks = lambda a: F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / width(a)).cast("int") - 1), lambda b: block(a, b))
+
+    def each(cut: Column) -> Column:
+        totals = F.transform(cut, lambda c: F.aggregate(c, F.lit(0), op))
+        before = F.concat(F.array(F.lit(0)), _fold(totals, F.lit(0), op))
+        return let(before, lambda at: F.flatten(F.transform(cut, lambda c, b: _fold(c, F.get(at, b), op))))
+
+    return F.when(F.size(x) > 0, let(let(x, blocks), each)).otherwise(F.array().cast("array<int>"))
+
+
 def _starts(matches: Column, gaps: Column) -> Column:
     """Start of each match: the lengths of the gaps up to it and of the matches before it."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    steps = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.length(m) + F.length(g))
+    return F.zip_with(_running(steps, lambda a, b: a + b), matches, lambda end, m: end - F.length(m))
+
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["g"])
-        return F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(start)).alias("out"))
+def _outside(spans: Column, base: Column) -> Column:
+    """The spans that lie in none of ``base``: no base span that starts before or with one reaches to its end."""
+    shape = lambda x, c: F.struct(x["start"].alias("start"), F.lit(c).alias("c"), x["kind"].alias("kind"), x["end"].alias("end"), x["value"].alias("value"))
+    both = F.sort_array(F.concat(F.transform(base, lambda x: shape(x, 0)), F.transform(spans, lambda x: shape(x, 1))))
 
-    pairs = F.zip_with(matches, F.slice(gaps, 1, F.greatest(F.size(matches), F.lit(0))), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def left(a: Column) -> Column:
+        reach = _running(F.transform(a, lambda x: F.when(x["c"] == 0, x["end"]).otherwise(0)), lambda a, b: F.greatest(a, b))
+        free = F.filter(F.zip_with(a, reach, lambda x, r: F.struct(x.alias("x"), ((x["c"] == 1) & (r < x["end"])).alias("free"))), lambda z: z["free"])
+        return F.transform(free, lambda z: F.struct(z["x"]["start"].alias("start"), z["x"]["kind"].alias("kind"), z["x"]["end"].alias("end"), z["x"]["value"].alias("value")))
+
+    return F.when(F.size(base) == 0, spans).otherwise(let(both, left))
 
 
 def _find(d: DataFrame, name: str, pattern: str, kind: int, keep) -> DataFrame:
@@ -118,8 +157,7 @@ def find_secrets(docs: DataFrame, min_llr: float = 1.5, bare_llr: float = 2.0, s
     d = _find(d, "s_hex", HEX, 2, lambda v: F.lit(True))
     d = _find(d, "s_markov", CANDIDATE, 3, lambda v: v.rlike("[A-Za-z]") & (v.rlike("[0-9]") | (v.rlike("[a-z]") & v.rlike("[A-Z]"))))
     d = d.withColumn("base", F.sort_array(F.concat("s_assign", "s_access", "s_hex")))
-    within = lambda x: F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
-    d = d.withColumn("s_free", F.filter("s_markov", lambda x: ~within(x)))
+    d = d.withColumn("s_free", _outside(F.col("s_markov"), F.col("base")))
     least = lambda v: F.when(v.rlike("[0-9]"), F.lit(min_llr)).otherwise(F.lit(bare_llr))
     more = F.filter("s_free", lambda x: llr(x["value"], table) >= least(x["value"]))
     return d.withColumn("found", F.sort_array(F.concat("base", more))).select("doc_id", "text", "base", "found")
@@ -145,15 +183,26 @@ def redact(docs: DataFrame, **kw) -> DataFrame:
     keep = docs.columns
     kept = docs.select(F.struct(*keep).alias("doc_id"), "text")
     d = find_secrets(kept, **kw)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    piece = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
+    n = TEXT_BLOCK
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        """Code points a to b of the text: the places of a long text are found from its block, not from its beginning."""
+        at = lambda x: F.floor(x / n).cast("int")
+        first, last = at(a), at(b - 1)
+        several = F.concat(F.substring(F.get(blocks, first), a % n + 1, F.lit(n)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.get(blocks, last), F.lit(1), (b - 1) % n + 1))
+        return F.when(b <= a, "").when(first == last, F.substring(F.get(blocks, first), a % n + 1, b - a)).otherwise(several)
+
+    def masked(blocks: Column) -> Column:
+        reach = _running(F.transform("found", lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+
+        def join(r: Column) -> Column:
+            before = lambda i: F.when(i > 0, F.get(r, i - 1)).otherwise(0)
+            parts = F.transform("found", lambda x, i: F.when(x["start"] >= before(i), F.concat(piece(blocks, before(i), x["start"]), F.lit(MASK))).otherwise(""))
+            return F.concat(F.array_join(parts, ""), piece(blocks, F.element_at(r, -1), F.length("text")))
 
-    def step(acc, x):
-        fresh = x["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], piece(acc["at"], x["start"]), F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+        return let(reach, join)
 
-    clean = F.aggregate("found", zero, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length("text"))))
+    clean = let(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{n}}}"), F.lit(0)), masked)
     text = F.when(F.size("found") > 0, clean).otherwise(F.col("text"))
     d = d.select("doc_id", text.alias("s_clean"))
     col = lambda c: F.col("s_clean").alias("text") if c == "text" else F.when(F.col("s_clean").isNotNull(), F.length("s_clean").cast("long")).otherwise(F.col("doc_id")[c]).alias(c) if c == "n_chars" else F.col("doc_id")[c].alias(c)

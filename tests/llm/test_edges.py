@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import re
 import textwrap
 
 import duckdb
@@ -316,3 +317,57 @@ def test_lexicons_of_folds_have_not_seen_their_labels(spark):
     assert "vile" not in without[0]
     assert math.isfinite(every[0]["vile"])
     assert F is not None
+
+
+def test_many_secrets_of_one_text(spark):
+    """Starts, containment and masks of a text with thousands of hits, beyond one block of each, against a walk over the text."""
+    r = random.Random(41)
+    parts, t = [], ""
+    for i in range(6_000):
+        parts.append(r.choice(["é🙂 plain words, ", "\n", "x"]) + r.choice([f"{r.getrandbits(128):032x}", f"token = '{r.getrandbits(96):024x}Qz'", "AKIA" + "".join(r.choice("ABCDEFG234567") for _ in range(16)), "word"]) + " ")
+    t = "".join(parts)
+    d = spark.createDataFrame([(1, t), (2, "no hit"), (3, None), (4, "")], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in secrets.find_secrets(d).collect()}
+    want = []
+    for k, pattern in enumerate((secrets.ASSIGN, secrets.ACCESS, secrets.HEX)):
+        want += [(m.start(), k, m.end(), m.group()) for m in re.finditer(pattern, t) if k or len(m.group(1)) >= 12]
+    assert [tuple(x) for x in got[1]["base"]] == sorted(want) and len(want) > 4_000
+    found = [tuple(x) for x in got[1]["found"]]
+    for a, k, b, v in found:
+        assert t[a:b] == v
+        if k == 3:
+            assert not any(x <= a and b <= y for x, _, y, _ in want)
+    out, at = [], 0
+    for a, _, b, _ in sorted(found):
+        if a >= at:
+            out += [t[at:a], secrets.MASK]
+        at = max(at, b)
+    clean = {x["doc_id"]: x["text"] for x in secrets.redact(d).collect()}
+    assert clean == {1: "".join([*out, t[at:]]), 2: "no hit", 3: None, 4: ""}
+
+
+def test_markov_spans_by_plain_scores(spark):
+    """The spans of the models are the candidates whose mean log-ratio, by a loop over the table, reaches the bound."""
+    r = random.Random(42)
+    texts = [" ".join(r.choice(["ordinary_identifier_name", "someCamelCaseIdentifierName", "".join(r.choice("abcdefXYZ0123456789qwWK") for _ in range(28)), "path/to/the/very-long-file_name", "plain words here"]) for _ in range(30)) for _ in range(20)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    samples = secrets.labelled_samples(d).cache()
+    table = secrets.train(samples)
+    code = lambda c: secrets.ALPHABET.find(c) + 1
+
+    def mean(v):
+        return sum(table[code(a) * secrets.STATES + code(b)] for a, b in zip(v, v[1:], strict=False)) / (len(v) - 1)
+
+    hits = 0
+    for x in secrets.find_secrets(d, samples=samples).collect():
+        t, base = texts[x["doc_id"]], [(y["start"], y["end"]) for y in x["base"]]
+        want = []
+        for m in re.finditer(secrets.CANDIDATE, t):
+            v = m.group()
+            mixed = any(map(str.isdigit, v)) or any(map(str.islower, v)) and any(map(str.isupper, v))
+            least = 1.5 if any(map(str.isdigit, v)) else 2.0
+            if any(map(str.isalpha, v)) and mixed and mean(v) >= least and not any(a <= m.start() and m.end() <= b for a, b in base):
+                want.append((m.start(), m.end()))
+        assert [(y["start"], y["end"]) for y in x["found"] if y["kind"] == 3] == want
+        hits += len(want)
+    assert hits > 20
