@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.llm import jaccard, langid, mixing, secrets, spiece
-from notewright.llm.common import store
+from notewright.llm.common import batches_of, store
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, round_trip of every row of the mix."""
-    return spiece.encode(docs)
+    """doc_id, n_tokens, ids, round_trip of every row of the mix, stored here so that its wide rows go through Python in small batches."""
+    with batches_of(spark, 1_000):
+        return store(spiece.encode(docs), "pipeline-encoded")
 
 
 STAGES = [
