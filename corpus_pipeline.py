@@ -16,18 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.llm import jaccard, langid, mixing, secrets, spiece
-from notewright.llm.common import batches_of, store
+from notewright.llm.common import batches_of, put_back, set_aside, store
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID doesn't reject. Rejections are few, and joined by id and text."""
     own = F.xxhash64("text")
-    keyed = docs.withColumn("p_key", F.struct("doc_id", own.alias("h")))
+    used = ("doc_id", "text")
+    keyed = set_aside(docs, *used).withColumn("p_key", F.struct("doc_id", own.alias("h")))
     said = langid.identify_documents(docs.select(F.struct("doc_id", own.alias("h")).alias("doc_id"), "text", "lang", "source"))
     gone = said.filter("rejected").select(F.col("doc_id").alias("g_key")).distinct()
     same = (F.col("p_key.h") == F.col("g_key.h")) & F.col("p_key.doc_id").eqNullSafe(F.col("g_key.doc_id"))
     gone = store(gone, "pipeline-rejected")
-    return keyed.join(F.broadcast(gone) if gone.count() <= 500_000 else gone, same, "left_anti").select(*docs.columns)
+    return keyed.join(F.broadcast(gone) if gone.count() <= 500_000 else gone, same, "left_anti").transform(put_back, docs, *used)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,17 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def set_aside(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` with the columns of ``own`` and all others in one struct, other_columns: whatever the others are called, they can't meet an operator's."""
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in own]
+    return docs.select(*[c for c in own if c in docs.columns], (F.struct(*rest) if rest else F.lit(None)).alias("other_columns"))
+
+
+def put_back(d: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
+    """The columns of ``docs`` in their order, those of ``own`` from ``d`` and the others from its struct."""
+    return d.select(*[F.col(c) if c in own else F.col(f"other_columns.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast ``df`` if a count shows at most ``rows`` rows; beyond that a shuffle join does the same work.
 

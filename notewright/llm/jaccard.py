@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, batches_of, broadcast_if_small, store, words
+from .common import ascii_lower, batches_of, broadcast_if_small, put_back, set_aside, store, words
 from .graph import connected_components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -300,6 +300,6 @@ def drop_near_duplicates(docs: DataFrame, **kw) -> DataFrame:
     gone = c.filter("n_shingles > 0 and component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("g_id"), F.col("tkey").alias("g_key")).distinct()
     twins = c.select("doc_id", "tkey")
     repeat = c.count() != twins.distinct().count()
-    keys = docs.select("*", F.md5(ascii_lower(F.coalesce("text", F.lit("")))).alias("g_own"))
+    keys = set_aside(docs, "doc_id", "text").select("*", F.md5(ascii_lower(F.coalesce("text", F.lit("")))).alias("g_own"))
     kept = keys.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("g_own") == F.col("g_key")), "left_anti")
-    return (kept.dropDuplicates(["doc_id", "g_own"]) if repeat else kept).drop("g_own")
+    return put_back(kept.dropDuplicates(["doc_id", "g_own"]) if repeat else kept, docs, "doc_id", "text")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, store, words
+from .common import broadcast_if_small, put_back, set_aside, store, words
 
 SEED = 20_240
 WEIGHTS = (3, 1, 2)
@@ -180,7 +180,8 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     key = ["m_doc", "m_t", "m_source"]
     took = mix_blocks(docs, **kw).select(F.col("doc_id").alias("m_doc"), F.col("t").alias("m_t"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.col("blocks").alias("m_blocks"))
     took = store(took.filter("m_size > 0"), "mix-taken")
-    d = docs.withColumn("d_t", F.xxhash64(F.col("text"), F.lit(seed)))
+    own = ("doc_id", "text", "source", "n_chars")
+    d = set_aside(docs, *own).withColumn("d_t", F.xxhash64(F.col("text"), F.lit(seed)))
     same = F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("d_t") == F.col("m_t")) & F.col("source").eqNullSafe(F.col("m_source"))
     if took.groupBy(*key).count().filter("count > 1").limit(1).count():  # repeated rows are told apart by a number
         took = took.withColumn("m_no", F.row_number().over(Window.partitionBy(*key).orderBy("m_blocks")))
@@ -194,4 +195,4 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     d = d.withColumn("m_words", F.when(~whole, words(F.col("text"))))
     part = F.array_join(F.flatten(F.transform("m_kept", lambda x: F.slice(F.col("m_words"), x["start"].cast("int") + 1, x["words"].cast("int")))), " ")
     text = F.when(whole, F.col("text")).otherwise(part)
-    return d.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return put_back(d.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")), docs, *own)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
+
 from notewright.llm import jaccard, langid, mixing, secrets
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +48,22 @@ def test_stages_hold_together(spark):
         assert stage(spark, none, SF).count() == 0
 
 
+def test_columns_with_helpers_names_pass_unchanged(spark):
+    """Columns named as the stages' own helpers, and a very long text, come through every stage but the last as they were."""
+    names = ["d_t", "d_no", "m_words", "m_blocks", "m_pass", "g_own", "p_key", "s_clean", "h", "other_columns", "g_key"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    long = docs.limit(1).selectExpr("cast(99999999 as long) as doc_id", "repeat(concat(text, ' more of it. '), 200) as text", "lang", "source", "n_chars")
+    docs = docs.unionByName(long)
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.select("doc_id", *names).collect()
+        assert rows and all(r[n] == f"{i}:{r['doc_id']}" for r in rows for i, n in enumerate(names)), name
+        docs = P.store(out, "clashing")
+
+
 def test_run(spark):
     assert P.run(spark, SF).count() > 150
     assert P.ORACLE_SQL is None
