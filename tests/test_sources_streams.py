@@ -13,6 +13,7 @@ import pytest
 
 from notewright.functions import templates
 from notewright.operators import ngrams, rowwise, training
+from notewright.plans import extraction
 from notewright.sources import files
 from notewright.streaming import answers, count_tables
 
@@ -344,3 +345,53 @@ def test_tool_call_families(spark):
     assert got["mistral"][0] == '<s>[INST]  Be kind. [/INST][INST] Say "hi"\n[/INST][TOOL_CALLS] [{"name": "f", "arguments": {"x": 1}}, {"name": "g", "arguments": {}}]</s>[TOOL_RESULTS] {"content": null}[/TOOL_RESULTS]'
     assert got["llama3"][0].startswith("<s><|start_header_id|>system<|end_header_id|>\n\nBe kind.<|eot_id|><|start_header_id|>user") and "<|start_header_id|>ipython<|end_header_id|>\n\n<|eot_id|>" in got["llama3"][0]
     assert got["hermes"][1:] == ["<|im_start|>assistant\n"] * 2
+
+
+# Extraction
+
+
+def test_a_killed_run_repeats_no_finished_prompt(spark, tmp_path):
+    log, path = str(tmp_path / "asked"), str(tmp_path / "ledger")
+    p = spark.createDataFrame([(f"e{i % 7}", i, f"prompt {i}") for i in range(90)] + [("e0", 0, "prompt 0"), ("null", 1, None)], "entity string, chunk_no long, prompt string").repartition(3)
+
+    def make(dies_at=None):
+        def start():
+            n = []
+
+            def f(text):
+                n.append(1)
+                if dies_at and len(n) >= dies_at:
+                    os._exit(1)  # the worker is gone in the middle of its prompts
+                with open(log, "a") as s:
+                    s.write(text + "\n")
+                if text.endswith("7") and "17" not in text:
+                    raise ValueError("no answer")
+                time.sleep(0.002 if "3" in text else 0)
+                return text.upper()
+
+            return f
+
+        return start
+
+    with pytest.raises(Exception, match="."):
+        extraction.extract_resumed(p, make(15), path, in_flight=2, flush=1, tries=1).count()
+    first = {r["key"] for r in extraction.ledger(p, path).collect()}
+    assert 10 < len(first) < 80
+    before = open(log).read().split("\n")
+    got = extraction.extract_resumed(p, make(), path, in_flight=4, flush=5, tries=2).collect()
+    assert first < {r["key"] for r in extraction.ledger(p, path).collect()}
+    assert len(got) == 92 and sum(r["entity"] == "e0" and r["chunk_no"] == 0 for r in got) == 2
+    for r in got:
+        no = r["chunk_no"]
+        if r["entity"] == "null":
+            assert r["answer"] is None and r["error"] is None
+        elif str(no).endswith("7") and no != 17:
+            assert r["answer"] is None and r["error"] == "no answer"
+        else:
+            assert r["answer"] == f"PROMPT {no}" and r["error"] is None
+    after = open(log).read().split("\n")[len(before) - 1 :]
+    assert len(set(after) & set(before) - {""}) <= 3 * 3  # what was under way in the lost tasks
+    assert extraction.extract_resumed(p, make(1), path).filter("error is null").count() == 92 - 8  # nothing is left to ask, so nothing dies
+    changed = extraction.extract_resumed(p, lambda: lambda t: "found", path, again=True)
+    assert changed.filter("error is not null").count() == 0 and changed.filter("answer = 'found'").count() == 8
+    assert extraction.extract_resumed(p.limit(0), make(1), str(tmp_path / "none")).count() == 0
