@@ -214,7 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, folds: int
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).cast("int").alias("fold")
     rows = store(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", fold, "text"), "toxic-train")
     lexicons = learn_lexicons(rows, folds)
-    got = featured(rows, lexicons, ["doc_id", "toxic", "fold"]).toPandas().sort_values(["doc_id", "toxic"])
+    got = featured(rows, lexicons, ["doc_id", "toxic", "fold"])
+    # As many rows as labels, unless documents repeat a doc_id: the driver gets no more than ``max_rows`` of those either.
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("x")).limit(max_rows).toPandas().sort_values(["doc_id", "toxic"])
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), folds + 1, len(NAMES))
     return Model(x[:, 0], [x[:, k + 1] for k in range(folds)], got["toxic"].to_numpy(dtype=float), got["fold"].to_numpy(dtype=int)), lexicons[0]
 
