@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,10 +63,16 @@ def random_id(seed: str, *keys: Column, length: int = 32) -> Column:
     return F.substring(F.translate(made, "+/=", "xQ7"), 1, length)
 
 
-@pandas_udf(StringType())
-def uuid5(name: pd.Series) -> pd.Series:
-    """Name-based UUID of hexadecimal digests in the URL name space; the bit fields are simplest in Python."""
-    return name.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))
+#: Fixed value: the name space of URLs.
+URL_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column) -> Column:
+    """Name-based UUID in the name space of URLs: SHA-1 with version 5 and the variant's two bits."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_SPACE)), F.encode(name, "UTF-8")))
+    part = lambda at, n: F.substring(h, at, n)
+    variant = F.substring(F.lit("89ab"), (F.conv(part(17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
 
 
 def below_thousand(n: Column) -> Column:

@@ -15,6 +15,7 @@ PATTERN = r"(?i)the\s+\w+"
 SPEC = X.ExcerptSpec(PATTERN, 2, 2, 20, 5, 5, question="\nQuestion: What is named here?\n")
 TIERED = replace(SPEC, limit=12, recent=2, distant=4, blocks_per_note=10, exclude="(?i)moron", priority="(?i)the\\s+on", keep_empty=True)
 CHUNKED = replace(SPEC, chunk=True, question="", day_format="yyyy", label="YYYY")
+RECENT = replace(SPEC, limit=15, recent=6, distant=0)
 ADAPTIVE = replace(SPEC, before=1, before_few=6, few_notes=49)
 
 
@@ -142,6 +143,12 @@ def select_recent_distant_sample(spark, d):
     return X.select_bounded(X.excerpts(notes(spark, d), SPEC), SPEC).select("entity", "row_no", "block_no", F.md5("rendered").alias("digest"))
 
 
+@query("select_recent_sample", f"WITH {_sql_selected(RECENT)} SELECT entity, row_no, block_no, md5(rendered) AS digest FROM sel")
+def select_recent_sample(spark, d):
+    """The latest excerpts and a seeded choice of all others."""
+    return X.select_bounded(X.excerpts(notes(spark, d), RECENT), RECENT).select("entity", "row_no", "block_no", F.md5("rendered").alias("digest"))
+
+
 @query("chunk_by_20", f"""WITH {_sql_excerpts(CHUNKED, '%Y')},
 nr AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day_label, row_no, block_no) - 1 AS r FROM ex)
 SELECT entity, CAST(r // 20 AS INTEGER) AS chunk_no, count(*) AS n_excerpts, md5(replace(string_agg(rendered, '' ORDER BY r), chr(10), '\\n')) AS digest FROM nr GROUP BY entity, r // 20""")

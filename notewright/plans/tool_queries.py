@@ -412,8 +412,11 @@ def text_encodings(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace(F.base64(raw), r"\s", "")).cast("long").alias("chars"), (F.decode(F.unbase64(F.base64(raw)), "UTF-8") == F.col("text")).alias("same"), S.valid_utf8(raw).alias("valid"))
 
 
-@query("identifiers")
+@query("identifiers", """WITH d AS (SELECT doc_id, text, sha256(text) AS s, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(sha256(text))) AS h,
+list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS HUGEINT))) AS b FROM documents)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN lower(lpad(hex(CAST(list_reduce(b, lambda a, x: (xor(a, x) * 1099511628211) % 18446744073709551616) AS UBIGINT)), 16, '0')) END AS fnv, translate(to_base64(unhex(sha256('id|' || doc_id))), '+/=', 'xQ7')[1:32] AS random,
+h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', CAST(CAST('0x' || h[17] AS INT) % 4 + 1 AS BIGINT), 1) || h[18:20] || '-' || h[21:32] AS uuid FROM d""")
 def identifiers(spark, d):
     digest = F.sha2("text", 256)
-    return table(spark, d, "documents").select("doc_id", S.fnv1a(F.substring("text", 1, 40)).alias("fnv"), S.random_id("id", F.col("doc_id")).alias("random"), S.uuid5(digest).alias("uuid"))
+    return table(spark, d, "documents").select("doc_id", S.fnv1a(F.col("text")).alias("fnv"), S.random_id("id", F.col("doc_id")).alias("random"), S.uuid5(digest).alias("uuid"))
 
