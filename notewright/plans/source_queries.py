@@ -47,7 +47,7 @@ def tensor_file_filter(spark, d):
 
 
 @query("log_prob_file", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), s AS (SELECT vec_id, a, list_max(a) * 40 AS hi, list_sum(list_transform(a, lambda x: exp(x * 40 - list_max(a) * 40))) AS z FROM e), t AS (SELECT *, greatest(list_min(a) * 40, hi - 16) AS lo FROM s)
-SELECT vec_id, round(hi - lo, 3) AS width, round(lo - hi - ln(z), 3) AS low, CAST(floor(list_sum(list_transform(a, lambda x: CASE WHEN x * 40 > lo THEN round_even((x * 40 - lo) / ((hi - lo) / 65535), 0) ELSE 0 END)) / 1000) AS BIGINT) AS q_sum FROM t""")
+SELECT vec_id, round(CAST((hi - lo) / 65535 AS FLOAT)::DOUBLE * 65535, 3) AS width, round(CAST(lo - hi - ln(z) AS FLOAT)::DOUBLE, 3) AS low, CAST(floor(list_sum(list_transform(a, lambda x: CASE WHEN x * 40 > lo THEN round_even((x * 40 - lo) / ((hi - lo) / 65535), 0) ELSE 0 END)) / 1000) AS BIGINT) AS q_sum FROM t""")
 def log_prob_file(spark, d):
     """Quantised log-probabilities as files of fixed records, a chunk for each vector."""
     e = table(spark, d, "embeddings").select("vec_id", tasks.quantise_log_probs(T.scale(F.col("embedding").cast("array<double>"), 40.0)).alias("x"))
