@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..session import discard, materialise
 
 BINS = 1024
-FEW = 2048
+FEW = 65_536
 #: Intervals up to which they are broadcast.
 SMALL = 50_000
 
